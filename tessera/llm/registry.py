@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe
+from tessera.llm import bpe, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_bpe": bpe.op9_bpe}
+    return {
+        "op7_simhash": simhash.op7_simhash,
+        "op9_bpe": bpe.op9_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
