@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, simhash
+from tessera.llm import bpe, quality, simhash, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op7_simhash": simhash.op7_simhash,
+        "op8_quality": quality.op8_quality,
         "op9_bpe": bpe.op9_bpe,
+        "op10_substrings": substrings.op10_substrings,
     }
 
 
