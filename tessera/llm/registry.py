@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, minhash, neighbours, quality, sharding, simhash, substrings
+from tessera.llm import bpe, minhash, mixing, neighbours, quality, sharding, simhash, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_minhash": minhash.op1_minhash,
         "op2_neighbours": neighbours.op2_neighbours,
         "op5_sharding": sharding.op5_sharding,
+        "op6_mixing": mixing.op6_mixing,
         "op7_simhash": simhash.op7_simhash,
         "op8_quality": quality.op8_quality,
         "op9_bpe": bpe.op9_bpe,
