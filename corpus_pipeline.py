@@ -1,7 +1,63 @@
-"""The corpus pipeline."""
-STAGES: list = []
+"""The corpus pipeline: five stages over ``documents``, each an operator of tessera.llm with its production parameters."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, mixing, quality, simhash, substrings
+from tessera.llm.common import shared_path, table
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """The same rows with n_chars of the texts as they are now."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labelled ones among them, scores at least 0.7."""
+    return quality.filtered(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each group of near duplicates."""
+    return simhash.deduplicated(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that a document of a smaller doc_id keeps."""
+    return _counted(substrings.deduplicated(docs, spans_col="_removed").drop("_removed"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources: documents as often as their blocks are taken, those at a run's ends in part."""
+    return _counted(mixing.documents(docs))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and the digest of the decoded text of every document of the mix."""
+    return bpe.encode(docs, bpe.vocabulary_path()).select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("SimHash near-dedup", drop_near_duplicates),
+    ("substring dedup", cut_repeats),
+    ("mixing sources to target weights", mix_sources),
+    ("BPE encoding and decoding", encode),
+]
+
+#: SQL cannot express a boosted classifier, SimHash components or BPE; tests/llm/test_pipeline.py holds run() against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, one after the other; what each returns is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = shared_path(spark, f"stage-{k}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, licenses, minhash, mixing, neighbours, quality, sharding, simhash, substrings
+from tessera.llm import bpe, counts, licenses, minhash, mixing, neighbours, quality, sharding, simhash, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": minhash.op1_minhash,
         "op2_neighbours": neighbours.op2_neighbours,
+        "op3_counts": counts.op3_counts,
         "op4_licenses": licenses.op4_licenses,
         "op5_sharding": sharding.op5_sharding,
         "op6_mixing": mixing.op6_mixing,

@@ -216,21 +216,21 @@ def _links(nodes: DataFrame, limit: int) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """id_col and fp long (the 64 bits, signed) for every row."""
+    """id_col, fp long (the 64 bits, signed) and text_hash of every row."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64)
-            return pa.record_batch([batch.column(0), pa.array(out.view(np.int64))], names=[id_col, "fp"])
+            out = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(2)], dtype=np.uint64)
+            return pa.record_batch([batch.column(0), pa.array(out.view(np.int64)), batch.column(1)], names=[id_col, "fp", "text_hash"])
 
         return step
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(id_col, text_col), make, f"`{id_col}` {kind}, fp long")
+    return map_batches(docs.select(id_col, F.xxhash64(text_col).alias("text_hash"), text_col), make, f"`{id_col}` {kind}, fp long, text_hash long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, limit: int = 3) -> DataFrame:
-    """One row per document: id_col, fp long, component_id (the smallest id that links of at most ``limit`` bits reach).
+    """One row per document: id_col, fp long, text_hash, component_id (the smallest id that links of at most ``limit`` bits reach), root (a fingerprint that names the component).
 
     Null and texts without words have fingerprint zero and link like any other. Rows with a repeated id keep one row
     each. A null id never becomes a component's id; the component of null ids alone is null. Columns other than the two
@@ -241,9 +241,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _links(_split(_nodes(prints.select("fp"), limit), limit), limit)
     roots = components(links)
     rooted = prints.join(roots, prints.fp == roots.node, "left").select("fp", "copies", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("prints"))
-    ids = cut(rooted.select("fp", "copies", "root").join(named.select("root", "component_id"), "root").select("fp", "copies", "component_id"))
-    return join_hot(marked, ids, "fp", "copies").select(id_col, "fp", "component_id")
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = cut(rooted.select("fp", "copies", "root").join(named, "root").select("fp", "copies", "component_id", "root"))
+    return join_hot(marked, ids, "fp", "copies").select(id_col, "fp", "text_hash", "component_id", "root")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, limit: int = 3) -> DataFrame:
+    """One row of each component of ``near_duplicates``, with all columns of ``docs``: the one of the smallest id.
+
+    Null ids come last; of rows of one id the one of the smallest hash of its text stays, of equal rows any one.
+    """
+    found = near_duplicates(docs, id_col, text_col, shingle, limit)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "text_hash")).alias("first"))
+    keep = first.select(F.struct("first.id", "first.text_hash").alias("_row"))
+    rows = docs.withColumn("_row", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash")))
+    return rows.join(keep, rows["_row"].eqNullSafe(keep["_row"]), "left_semi").dropDuplicates(["_row"]).drop("_row")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
