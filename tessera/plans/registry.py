@@ -1,4 +1,4 @@
-"""Every query of the engine by name."""
+"""Every query of the engine by name, its SQL, and the flagship."""
 
 from __future__ import annotations
 
@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans.oracles import ORACLES
+from tessera.plans.queries import QUERIES, id_list_output
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Records are blocked, scored, decided one to one, and written as one id list an entity."""
+    return id_list_output(spark, sf_dir)
