@@ -40,6 +40,8 @@ class Template:
         return self.key or (0, len(self.words))
 
 
+#: The most that a template in part can score.
+NEARLY = 0.999
 #: The base phrases; every place of each is counted.
 BASE = (Template("gpl", "gnu general public license"), Template("apache", "apache license"), Template("cc-by", "cc by"), Template("mit", "mit license"))
 #: Longer templates with labels of the method's own.
@@ -81,7 +83,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bas
     n_base counts every place where a base phrase's words stand consecutively, first_word and last_word are the smallest
     and largest of these places' first words (from 0; null without any). labels holds the base labels and those of the
     longer templates found; both lists are distinct, sorted and comma-joined, empty without any. score is the greatest
-    share of a template's IDF that stands in place, 1 for a whole template, 0 for none. Null and empty texts have no
+    share of a template's IDF that stands in place, to six digits, 1 for a whole template only, 0 for none. Null and empty texts have no
     words. A table without rows, or without licence words, gives every word the same IDF. Other columns are not read.
     """
     templates = [*base, *more]
@@ -109,7 +111,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bas
         for x in there:
             whole = whole & x
         part = sum((F.when(x, idf[w]).otherwise(0.0) for x, w in zip(there[1:], t.words[1:])), F.when(there[0], idf[t.words[0]]).otherwise(0.0))
-        return F.when(whole, 1.0).otherwise(F.least(part / total, F.lit(0.999)))
+        return F.when(whole, 1.0).otherwise(F.least(part / total, F.lit(NEARLY)))
 
     def key_stands(t: Template, start: Column) -> Column:
         out = F.lit(True)
@@ -135,10 +137,34 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bas
         F.array_max("places").cast("long").alias("last_word"),
         listed(of_base).alias("base_labels"),
         listed(F.concat(of_base, of_more)).alias("labels"),
-        best.alias("score"),
+        F.round(best, 6).alias("score"),
     )
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: base phrases, their places, labels and score."""
     return scanned(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+
+
+def oracle_sql(least: float = 0.8) -> str:
+    """The same scan in DuckDB SQL: templates and their words as tables, postings by unnesting."""
+    rows = [(k, t.label, k < len(BASE), "['" + "', '".join(t.words) + "']", *t.mandatory) for k, t in enumerate([*BASE, *MORE])]
+    values = ", ".join(f"({k}, '{label}', {base}, {words}, {a}, {b})" for k, label, base, words, a, b in rows)
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+WITH tp(t, label, base, ws, a, b) AS (VALUES {values}),
+tw AS (SELECT t, label, base, a, b, ws, unnest(ws) AS w, unnest(range(len(ws))) AS k FROM tp),
+d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, row_number() OVER () AS r, [x for x in regexp_split_to_array({lower}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> ''] AS words FROM documents),
+df AS (SELECT w, count(d.r) AS df FROM (SELECT DISTINCT w FROM tw) LEFT JOIN (SELECT r, unnest(list_distinct(words)) AS w FROM d) d USING (w) GROUP BY 1),
+idf AS (SELECT w, ln((1 + (SELECT count(*) FROM d)) / (1 + df)) + 1 AS idf FROM df),
+ti AS (SELECT tw.*, idf, sum(idf) OVER (PARTITION BY t) AS total, row_number() OVER (PARTITION BY t ORDER BY idf DESC, k) AS r1 FROM tw JOIN idf USING (w)),
+anchor AS (SELECT t, w, k FROM ti WHERE r1 = 1),
+pos AS (SELECT r, unnest(words) AS w, unnest(range(len(words))) AS i FROM d),
+st AS (SELECT p.r, a.t, p.i - a.k AS s FROM pos p JOIN anchor a USING (w) WHERE p.i >= a.k),
+ck AS (SELECT st.r, st.t, st.s, sum(CASE WHEN d.words[st.s + k + 1] = ti.w THEN idf ELSE 0 END) / any_value(total) AS part, bool_and(coalesce(d.words[st.s + k + 1] = ti.w, false)) AS whole,
+  bool_and(k < a OR k >= b OR coalesce(d.words[st.s + k + 1] = ti.w, false)) AS key, any_value(label) AS label, any_value(base) AS base FROM st JOIN ti USING (t) JOIN d USING (r) GROUP BY 1, 2, 3),
+sc AS (SELECT *, CASE WHEN whole THEN 1.0 ELSE least(part, {NEARLY}) END AS share FROM ck),
+al AS (SELECT r, count(*) FILTER (base AND whole) AS n_base, min(s) FILTER (base AND whole) AS first_word, max(s) FILTER (base AND whole) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND whole) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND whole OR NOT base AND key AND share >= {least}) AS labels, max(share) AS score FROM sc GROUP BY 1)
+SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(round(coalesce(score, 0), 6) AS DOUBLE) AS score FROM d LEFT JOIN al USING (r)
+"""

@@ -43,6 +43,14 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(kind) @ b.astype(kind).T
 
 
+def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of the rows in double precision, their terms added one after the other."""
+    total = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        total += a[:, k] * b[:, k]
+    return total
+
+
 def best_in(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray, candidate_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query ids, candidate ids and scores of each query's k nearest among the candidates, itself left out."""
     order = np.argsort(candidate_ids, kind="stable")
@@ -68,7 +76,7 @@ def best_in(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray,
             a, b = np.nonzero(keep)
             for lo in range(0, len(a), 1 << 16):
                 i, j = a[lo : lo + (1 << 16)], b[lo : lo + (1 << 16)]
-                scores = np.einsum("ij,ij->i", queries[i], part[j])
+                scores = inner(queries[i], part[j])
                 better = scores > floor[i]  # ids come in ascending order: an equal score later on never displaces one
                 for q, s, c in zip(i[better].tolist(), scores[better].tolist(), ids[j[better]].tolist()):
                     heap = heaps[q]
@@ -94,10 +102,12 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """For each row whose id ``every`` divides, its k nearest other rows by inner product: query_id, rank int from 1, id_col, score.
 
-    Ties go to the smaller id. Vectors are compared with those of their own length only. Repeated rows count
-    once; different vectors of one id are candidates and queries of that id each, their results ranked together. All vectors are dealt into blocks of bounded size by a hash of id and vector, so that neither copies nor
-    hot values gather; a block pair is one task's work. The work is queries times candidates by definition of an exact
-    search; the shuffle is each side once for each block of the other.
+    Ties go to the smaller id. Vectors are compared with those of their own length only. Rows without an id, and vectors
+    that are null, empty, zero or hold a null or non-finite component take no part. Repeated rows count once; different
+    vectors of one id are candidates and queries of that id each, their results ranked together. All vectors are dealt
+    into blocks of bounded size by a hash of id and vector, so that neither copies nor hot values gather; a block pair is
+    one task's work. The work is queries times candidates by definition of an exact search; the shuffle is each side once
+    for each block of the other. An empty table gives an empty one.
     """
     rows = cut(usable(vectors, id_col, vector_col).dropDuplicates(["id", "vector"]).withColumn("size", F.size("vector")))
     n, q = rows.agg(F.count("*"), F.count_if(F.col("id") % every == 0)).first()
@@ -121,3 +131,11 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every embedding whose vec_id 20 divides: query_id, rank, vec_id, score."""
     return nearest(table(spark, sf_dir, "embeddings"))
+
+
+OP2_SQL = """
+WITH e AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+u AS (SELECT * FROM e WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score FROM u q JOIN u c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s QUALIFY rank <= 20
+"""
