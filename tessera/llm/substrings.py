@@ -1,40 +1,61 @@
-"""Removal of repeated passages by hashing lines and the sentences in them.
-
-A text is cut into units: lines, and within lines sentences, as a passage that is copied into another text often starts
-and ends inside a line. A unit of at least ``long_unit`` words has a digest of its words in lower case, without outer
-punctuation, so that case and spacing do not hide a copy. Digests are grouped over all documents; the occurrence of the
-lowest rank (document id, then place) stays, the others are repeats. Shorter units repeat by chance; those between two
-long ones are hashed together with both, so that they count as repeated only where the whole sequence is. A run of
-neighbouring repeats goes if it holds at least ``least_words`` words.
+"""Removal of repeated passages by hashing lines, sentences and parts of long sentences.
+
+A text is cut into units: lines, within lines sentences, and long sentences once more after words that the text itself
+singles out (the least hash of the eleven words around), as a passage that is copied into another text often starts and
+ends inside a sentence, and such cuts fall on the same words in both. A unit of at least ``long_unit`` words has a digest
+of its words in lower case, without outer punctuation, so that case and spacing do not hide a copy. Digests are grouped
+over all documents; the occurrence of the lowest rank (document id, then place) stays, the others are repeats. Shorter
+units repeat by chance; those between two long ones are hashed together with both, so that they count as repeated only
+where the whole sequence is. A run of neighbouring repeats goes if it holds at least ``least_words`` words.
 """
 
 from __future__ import annotations
 
-import re
 from hashlib import blake2b
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, join_hot, map_batches, shared_path, table
 
-#: A unit ends after a line's end, or after white space that follows the end of a sentence.
-_END = re.compile(r"\n+|(?<=[.!?])[ \t]+")
-LEAST_WORDS, LONG_UNIT = 12, 6
-
-
-def units(text: str) -> list[tuple[int, int]]:
-    """Start and end (code points) of each unit, in order; together they are the whole text."""
-    ends = [m.end() for m in _END.finditer(text)]
-    if not ends or ends[-1] < len(text):
-        ends.append(len(text))
-    return [(a, b) for a, b in zip([0, *ends], ends) if b > a]
-
-
-def normal(unit: str) -> str:
-    """What is hashed: the words in lower case, single spaces between them, no punctuation around them."""
-    return " ".join([w for w in (x.strip(".,;:!?()[]{}\"'") for x in unit.lower().split()) if w])
+#: Words that a run holds at least to go, and that a unit holds at least to be hashed by itself; words on either side that a cut inside a sentence looks at.
+LEAST_WORDS, LONG_UNIT, AROUND = 10, 6, 5
+_OUTER = ".,;:!?()[]{}\"'"
+_SPACES = np.array([chr(c).isspace() for c in range(0x3002)])
+
+
+def units(text: str, around: int = AROUND) -> list[tuple[int, int, int, str]]:
+    """Start, end (code points), number of words and normal form of each unit, in order; together they are the whole text."""
+    words = text.split()
+    if not words:
+        return [(0, len(text), 0, "")] if text else []
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    space = _SPACES[np.minimum(points, len(_SPACES) - 1)]
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
+    starts, last = edge[::2], points[edge[1::2] - 1]
+    n = len(starts)
+    line = np.searchsorted(np.flatnonzero(points == 10), starts)
+    ends = np.zeros(n, bool)  # whether a unit ends after the word
+    ends[:-1] = (line[1:] != line[:-1]) | np.isin(last[:-1], (0x2E, 0x21, 0x3F))
+    plain = [w.strip(_OUTER) for w in text.lower().split()]
+    width = 2 * around + 1
+    if n > width:
+        sentence = np.concatenate(([0], np.cumsum(ends[:-1])))
+        hashed = np.fromiter((crc32(w.encode("utf-8", "surrogatepass")) for w in plain), np.int64, n)
+        windows = np.lib.stride_tricks.sliding_window_view(hashed, width)[:-1]
+        middle = np.arange(around, n - around - 1)
+        least = (windows <= hashed[middle, None]).sum(axis=1) == 1
+        ends[middle] |= least & (sentence[middle - around] == sentence[middle + around + 1])
+    cuts = [0, *(np.flatnonzero(ends) + 1).tolist(), n]
+    at = [0, *starts[cuts[1:-1]].tolist(), len(text)]
+    found = []
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        part = [w for w in plain[a:b] if w]
+        found.append((at[k], at[k + 1], len(part), " ".join(part)))
+    return found
 
 
 def _digest(*parts: str) -> bytes:
@@ -44,9 +65,8 @@ def _digest(*parts: str) -> bytes:
 def digests(text: str, long_unit: int) -> list[tuple[int, bytes]]:
     """Unit number and digest of each long unit, and of each group of short units between two long ones (at the first's number)."""
     found, before, short = [], None, []
-    for k, (a, b) in enumerate(units(text)):
-        words = normal(text[a:b])
-        if words.count(" ") + 1 < long_unit:
+    for k, (_, _, n, words) in enumerate(units(text)):
+        if n < long_unit:
             short.append((k, words))
             continue
         if before is not None and short:
@@ -60,14 +80,12 @@ def runs(text: str, repeats: dict[int, int | None], long_unit: int, least_words:
     """Start, end (code points) and the kept document of each run of repeats with enough words. ``repeats``: document by unit number."""
     found: list[tuple[int, int, int | None]] = []
     run, of_short, was_long = None, False, True  # run: start, end, kept document, words
-    for k, (a, b) in enumerate([*units(text), (len(text), len(text))]):
-        w = normal(text[a:b])
-        is_long = w.count(" ") + 1 >= long_unit
+    for k, (a, b, n, _) in enumerate([*units(text), (len(text), len(text), 0, "")]):
+        is_long = n >= long_unit
         if not is_long and was_long:
             of_short = k in repeats  # short units go as their group's first does
         was_long = is_long
         if b > a and (k in repeats if is_long else of_short):
-            n = w.count(" ") + bool(w)
             run = (a, b, repeats.get(k), n) if run is None else (run[0], b, run[2], run[3] + n)
             continue
         if run is not None and run[3] >= least_words:

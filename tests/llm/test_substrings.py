@@ -12,7 +12,7 @@ def sentence(n):
     return " ".join(f"w{RNG.randrange(10**6)}" for _ in range(n)).capitalize() + "."
 
 
-def plain(rows, long_unit=6, least_words=12):
+def plain(rows, long_unit=6, least_words=10):
     """(id, text) -> what stays and the spans, one document after the other in the order of ranks."""
     seen, out = set(), {}
     for i, text in sorted({(i, t) for i, t in rows if t is not None}, key=lambda x: (x[0] is None, x[0] or 0)):
