@@ -1,0 +1 @@
+"""Column expressions and Arrow functions for text, Unicode and similarity."""

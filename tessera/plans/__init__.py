@@ -1,0 +1 @@
+"""The registered queries, their SQL, and the pipeline."""

@@ -1,0 +1 @@
+"""No streaming operators: all inputs of record linkage here are finite tables, and none of its semantics involve time."""
