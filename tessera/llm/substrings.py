@@ -6,7 +6,9 @@ ends inside a sentence, and such cuts fall on the same words in both. A unit of
 of its words in lower case, without outer punctuation, so that case and spacing do not hide a copy. Digests are grouped
 over all documents; the occurrence of the lowest rank (document id, then place) stays, the others are repeats. Shorter
 units repeat by chance; those between two long ones are hashed together with both, so that they count as repeated only
-where the whole sequence is. A run of neighbouring repeats goes if it holds at least ``least_words`` words.
+where the whole sequence is. With a unit go small hashes of the words before and after it, so that a repeat is known to
+reach up to eleven words further on either side. A run of neighbouring repeats, with what it reaches, goes if it holds at
+least ``least_words`` words.
 """
 
 from __future__ import annotations
@@ -16,80 +18,120 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, join_hot, map_batches, shared_path, table
 
 #: Words that a run holds at least to go, and that a unit holds at least to be hashed by itself; words on either side that a cut inside a sentence looks at.
 LEAST_WORDS, LONG_UNIT, AROUND = 10, 6, 5
+#: How many words before and after a unit are compared with those of the kept occurrence, by 16-bit hashes.
+REACH = (2, 4, 7, 11)
 _OUTER = ".,;:!?()[]{}\"'"
 _SPACES = np.array([chr(c).isspace() for c in range(0x3002)])
 
 
-def units(text: str, around: int = AROUND) -> list[tuple[int, int, int, str]]:
-    """Start, end (code points), number of words and normal form of each unit, in order; together they are the whole text."""
-    words = text.split()
-    if not words:
-        return [(0, len(text), 0, "")] if text else []
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    space = _SPACES[np.minimum(points, len(_SPACES) - 1)]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
-    starts, last = edge[::2], points[edge[1::2] - 1]
-    n = len(starts)
-    line = np.searchsorted(np.flatnonzero(points == 10), starts)
-    ends = np.zeros(n, bool)  # whether a unit ends after the word
-    ends[:-1] = (line[1:] != line[:-1]) | np.isin(last[:-1], (0x2E, 0x21, 0x3F))
-    plain = [w.strip(_OUTER) for w in text.lower().split()]
-    width = 2 * around + 1
-    if n > width:
-        sentence = np.concatenate(([0], np.cumsum(ends[:-1])))
-        hashed = np.fromiter((crc32(w.encode("utf-8", "surrogatepass")) for w in plain), np.int64, n)
-        windows = np.lib.stride_tricks.sliding_window_view(hashed, width)[:-1]
-        middle = np.arange(around, n - around - 1)
-        least = (windows <= hashed[middle, None]).sum(axis=1) == 1
-        ends[middle] |= least & (sentence[middle - around] == sentence[middle + around + 1])
-    cuts = [0, *(np.flatnonzero(ends) + 1).tolist(), n]
-    at = [0, *starts[cuts[1:-1]].tolist(), len(text)]
-    found = []
-    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-        part = [w for w in plain[a:b] if w]
-        found.append((at[k], at[k + 1], len(part), " ".join(part)))
-    return found
+class Cut:
+    """A text cut into units: ``starts`` (code points) and ``plain`` (normal form) of its words, ``cuts`` (each unit's first word, and the number of words)."""
+
+    def __init__(self, text: str, around: int = AROUND):
+        words = text.split()
+        self.size, self.plain, self.starts, self.cuts = len(text), [w.strip(_OUTER) for w in text.lower().split()], [], [0]
+        if not words:
+            return
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        space = _SPACES[np.minimum(points, len(_SPACES) - 1)]
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
+        starts, last = edge[::2], points[edge[1::2] - 1]
+        n = len(starts)
+        line = np.searchsorted(np.flatnonzero(points == 10), starts)
+        ends = np.zeros(n, bool)  # whether a unit ends after the word
+        ends[:-1] = (line[1:] != line[:-1]) | np.isin(last[:-1], (0x2E, 0x21, 0x3F))
+        width = 2 * around + 1
+        if n > width:
+            sentence = np.concatenate(([0], np.cumsum(ends[:-1])))
+            hashed = np.fromiter((crc32(w.encode("utf-8", "surrogatepass")) for w in self.plain), np.int64, n)
+            windows = np.lib.stride_tricks.sliding_window_view(hashed, width)[:-1]
+            middle = np.arange(around, n - around - 1)
+            least = (windows <= hashed[middle, None]).sum(axis=1) == 1
+            ends[middle] |= least & (sentence[middle - around] == sentence[middle + around + 1])
+        self.starts, self.cuts = starts.tolist(), [0, *(np.flatnonzero(ends[:-1]) + 1).tolist(), n]
+
+    def units(self):
+        """First word, word after the last, number of words that are not empty in normal form, and the normal form, of each unit."""
+        for a, b in zip(self.cuts, self.cuts[1:]):
+            part = [w for w in self.plain[a:b] if w]
+            yield a, b, len(part), " ".join(part)
+
+    def place(self, word: int) -> int:
+        """Where a word starts; white space belongs to the word before it, at the text's start to the first."""
+        return 0 if word <= 0 else self.starts[word] if word < len(self.starts) else self.size
+
+    def before(self, word: int) -> int:
+        """Hashes of the last 2, 4, 7 and 11 words before a word, in one signed integer; 0 where there are fewer."""
+        return _packed([self.plain[word - k : word] if word >= k else None for k in REACH])
+
+    def after(self, word: int) -> int:
+        """The same of the words from this one on."""
+        return _packed([self.plain[word : word + k] if word + k <= len(self.plain) else None for k in REACH])
+
+
+def _packed(parts: list[list[str] | None]) -> int:
+    total = 0
+    for k, part in enumerate(parts):
+        if part is not None:
+            total |= (crc32(" ".join(part).encode("utf-8", "surrogatepass")) % 0xFFFF + 1) << 16 * k
+    return total - (1 << 64) if total >> 63 else total
 
 
 def _digest(*parts: str) -> bytes:
     return blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def digests(text: str, long_unit: int) -> list[tuple[int, bytes]]:
-    """Unit number and digest of each long unit, and of each group of short units between two long ones (at the first's number)."""
-    found, before, short = [], None, []
-    for k, (_, _, n, words) in enumerate(units(text)):
+def digests(text: str, long_unit: int) -> list[tuple[int, bytes, int, int]]:
+    """Unit number, digest, and hashes of what stands before and after, of each long unit, and of each group of short units between two long ones (at the first's number)."""
+    found, last, short, cut = [], None, [], Cut(text)
+    for k, (a, b, n, words) in enumerate(cut.units()):
         if n < long_unit:
             short.append((k, words))
             continue
-        if before is not None and short:
-            found.append((short[0][0], _digest(before, *[w for _, w in short], words)))
-        found.append((k, _digest(words)))
-        before, short = words, []
+        if last is not None and short:
+            found.append((short[0][0], _digest(last, *[w for _, w in short], words), 0, 0))
+        found.append((k, _digest(words), cut.before(a), cut.after(b)))
+        last, short = words, []
     return found
 
 
-def runs(text: str, repeats: dict[int, int | None], long_unit: int, least_words: int) -> list[tuple[int, int, int | None]]:
-    """Start, end (code points) and the kept document of each run of repeats with enough words. ``repeats``: document by unit number."""
+def runs(text: str, repeats: dict[int, tuple[int | None, int, int]], long_unit: int, least_words: int) -> list[tuple[int, int, int | None]]:
+    """Start, end (code points) and the kept document of each run of repeats with enough words.
+
+    ``repeats``: by unit number the kept document, and by how many words the repeat reaches further before and after.
+    """
     found: list[tuple[int, int, int | None]] = []
-    run, of_short, was_long = None, False, True  # run: start, end, kept document, words
-    for k, (a, b, n, _) in enumerate([*units(text), (len(text), len(text), 0, "")]):
+    cut = Cut(text)
+    last = len(cut.starts)
+    run, of_short, was_long, free = None, False, True, 0  # run: first word, word after the last, kept document; free: no word before it has gone
+    for k, (a, b, n, _) in enumerate([*cut.units(), (last, last, 0, "")]):
         is_long = n >= long_unit
         if not is_long and was_long:
             of_short = k in repeats  # short units go as their group's first does
         was_long = is_long
         if b > a and (k in repeats if is_long else of_short):
-            run = (a, b, repeats.get(k), n) if run is None else (run[0], b, run[2], run[3] + n)
+            kept, before, after = repeats.get(k, (None, 0, 0))
+            if run is None:
+                run = (max(free, a - before), b, kept, after)
+            else:
+                run = (run[0], b, run[2], after if is_long else 0)
             continue
-        if run is not None and run[3] >= least_words:
-            found.append(run[:3])
+        if run is not None:
+            first, end = run[0], min(last, run[1] + run[3])
+            if sum(map(bool, cut.plain[first:end])) >= least_words:
+                start, stop = cut.place(first), cut.place(end)
+                if found and found[-1][1] >= start and found[-1][2] == run[2]:
+                    found[-1] = (found[-1][0], stop, run[2])
+                else:
+                    found.append((start, stop, run[2]))
+                free = end
         run = None
     return found
 
@@ -100,30 +142,42 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_unit: int = LONG_UNIT) -> DataFrame:
-    """Every occurrence of a unit but the kept one: _rank, _hash (of the row), unit, kept (the id of the document that keeps it)."""
+    """Every occurrence of a unit but the kept one: _rank, _hash (of the row), unit, kept (the id of the document that keeps it), before and after (words that the repeat reaches further)."""
     spark = docs.sparkSession
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            row, number, of = [], [], []
+            row, found = [], []
             for i, t in enumerate(batch.column(2)):
-                found = digests(t.as_py() or "", long_unit)
-                row += [i] * len(found)
-                number += [k for k, _ in found]
-                of += [d for _, d in found]
+                of_text = digests(t.as_py() or "", long_unit)
+                row += [i] * len(of_text)
+                found += of_text
             row = pa.array(row, pa.int64())
-            return pa.record_batch([batch.column(0).take(row), batch.column(1).take(row), pa.array(number, pa.int32()), pa.array(of, pa.binary())], names=["_rank", "_hash", "unit", "digest"])
+            number, digest, before, after = zip(*found) if found else ([], [], [], [])
+            columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array(number, pa.int32()), pa.array(digest, pa.binary()), pa.array(before, pa.int64()), pa.array(after, pa.int64())]
+            return pa.record_batch(columns, names=["_rank", "_hash", "unit", "digest", "before", "after"])
 
         return step
 
     rows = _keyed(docs.select(id_col, text_col), id_col, text_col).select("_rank", "_hash", text_col)
     path = shared_path(spark, "units")
-    map_batches(rows, make, "_rank long, _hash long, unit int, digest binary").write.parquet(path)
+    map_batches(rows, make, "_rank long, _hash long, unit int, digest binary, before long, after long").write.parquet(path)
     found = spark.read.parquet(path)
-    place = F.struct(F.col("_rank").isNull().alias("no_rank"), "_rank", "_hash", "unit")
-    first = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    place_of = [F.col("_rank").isNull().alias("no_rank"), F.col("_rank"), F.col("_hash"), F.col("unit")]
+    first = found.groupBy("digest").agg(F.min(F.struct(*place_of, "before", "after")).alias("first"), F.count("*").alias("n")).where("n > 1")
     both = join_hot(found, cut(first), "digest", "n")
-    return both.where(~place.eqNullSafe(F.col("first"))).select("_rank", "_hash", "unit", F.col("first._rank").alias("kept"))
+    return both.where(~F.struct(*place_of).eqNullSafe(F.struct(*[F.col(f"first.{c}") for c in ("no_rank", "_rank", "_hash", "unit")]))).select("_rank", "_hash", "unit", F.col("first._rank").alias("kept"), _reach("before").alias("before"), _reach("after").alias("after"))
+
+
+def _reach(side: str) -> Column:
+    """How many words more on that side are those of the kept occurrence: the hashes of all shorter reaches agree, too."""
+    out = F.lit(0)
+    agree = F.lit(True)
+    for k, words in enumerate(REACH):
+        own, kept = (F.shiftrightunsigned(c, 16 * k).bitwiseAND(0xFFFF) for c in (side, F.col(f"first.{side}")))
+        agree = agree & (own == kept) & (own != 0)
+        out = F.when(agree, words).otherwise(out)
+    return out
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "removed", long_unit: int = LONG_UNIT, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -135,7 +189,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     null. The units of a text that is copied many times are joined by ``join_hot``; a text is shuffled once.
     """
     repeats = repeated_units(docs, id_col, text_col, long_unit).distinct()
-    by_row = repeats.groupBy("_rank", "_hash").agg(F.collect_list(F.struct("unit", "kept")).alias("_units"))
+    by_row = repeats.groupBy("_rank", "_hash").agg(F.collect_list(F.struct("unit", "kept", "before", "after")).alias("_units"))
     by_row = by_row.select(F.col("_rank").alias("_r"), F.col("_hash").alias("_h"), "_units")
     rows = _keyed(docs, id_col, text_col)
     rows = rows.join(by_row, rows["_hash"].eqNullSafe(by_row["_h"]) & rows["_rank"].eqNullSafe(by_row["_r"]), "left").drop("_rank", "_hash", "_r", "_h")
@@ -148,7 +202,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts, spans = [], []
             for t, found in zip(batch.column(place), batch.column(last)):
                 text, found = t.as_py(), found.as_py()
-                cuts = runs(text, {x["unit"]: x["kept"] for x in found}, long_unit, least_words) if found else []
+                cuts = runs(text, {x["unit"]: (x["kept"], x["before"], x["after"]) for x in found}, long_unit, least_words) if found else []
                 spans.append([{"start": a, "end": b, "kept_id": k} for a, b, k in cuts])
                 if cuts:
                     text = "".join(text[a:b] for a, b in zip([0, *[b for _, b, _ in cuts]], [*[a for a, _, _ in cuts], len(text)]))

@@ -12,15 +12,25 @@ def sentence(n):
     return " ".join(f"w{RNG.randrange(10**6)}" for _ in range(n)).capitalize() + "."
 
 
+def reached(a, b):
+    n = 0
+    for k, words in enumerate(substrings.REACH):
+        x, y = a >> 16 * k & 0xFFFF, b >> 16 * k & 0xFFFF
+        if x != y or not x:
+            break
+        n = words
+    return n
+
+
 def plain(rows, long_unit=6, least_words=10):
     """(id, text) -> what stays and the spans, one document after the other in the order of ranks."""
-    seen, out = set(), {}
+    seen, out = {}, {}
     for i, text in sorted({(i, t) for i, t in rows if t is not None}, key=lambda x: (x[0] is None, x[0] or 0)):
         repeats = {}
-        for k, d in substrings.digests(text, long_unit):
+        for k, d, before, after in substrings.digests(text, long_unit):
             if d in seen:
-                repeats[k] = 0
-            seen.add(d)
+                repeats[k] = (seen[d][0], reached(before, seen[d][1]), reached(after, seen[d][2]))
+            seen.setdefault(d, (i, before, after))
         spans = [(a, b) for a, b, _ in substrings.runs(text, repeats, long_unit, least_words)]
         kept, at = "", 0
         for a, b in spans:
@@ -50,6 +60,19 @@ def test_passages_lines_and_copies(spark):
     assert got[100].text.strip() == "The."
 
 
+def test_passages_inside_sentences_go_as_a_whole(spark):
+    passage = " ".join(f"p{k}" for k in range(60)) + ". " + " ".join(f"q{k}" for k in range(25))
+    host = lambda: " ".join(f"h{RNG.randrange(10**6)}" for _ in range(30))
+    rows = [(k, f"{host()} {passage} {host()}", "", "") for k in range(6)]
+    got = {r.doc_id: r for r in substrings.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[0].text == rows[0][1]
+    for k in range(1, 6):
+        left = got[k].text.split()
+        assert sum(w[0] in "pq" for w in left) <= 20 and sum(w[0] == "h" for w in left) == 60
+        ((start, end, kept),) = got[k].removed
+        assert kept == 0 and got[k].text == rows[k][1][:start] + rows[k][1][end:]
+
+
 def test_null_and_repeated_ids_and_empty_tables(spark):
     text = sentence(20)
     got = substrings.deduplicated(spark.createDataFrame([(None, text, "", ""), (3, text, "", ""), (3, text, "", ""), (3, "other " + text, "", "")], SCHEMA)).collect()
