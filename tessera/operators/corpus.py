@@ -75,3 +75,19 @@ def merged(layers: list[DataFrame]) -> DataFrame:
         both = out.select("short", F.col("long").alias("old")).join(layer.select("short", F.col("long").alias("new")), "short", "full_outer")
         out = both.where(F.col("old").isNull() | F.col("new").isNull() | (F.col("old") == F.col("new"))).select("short", F.coalesce("old", "new").alias("long"))
     return out
+
+
+def dictionary(spark: SparkSession, seeds: Mapping[str, str], counts: DataFrame, slots: DataFrame, min_count: int = 5, dominance: float = 0.70) -> DataFrame:
+    """The abbreviations (short, long) of all layers: seeds, those of the slots of each country, those mined from true pairs."""
+    by_slot = accepted(slots, 1, dominance, ("country",)).select("short", "long").distinct()
+    # a short form that two countries spell out differently stays out
+    clear = by_slot.groupBy("short").agg(F.min("long").alias("long"), F.count("*").alias("k")).where("k = 1").select("short", "long")
+    return merged([seed(spark, seeds), clear, accepted(counts, min_count, dominance)])
+
+
+def as_mapping(layer: DataFrame, most: int = 100_000) -> dict[str, str]:
+    """A dictionary for ``text.expanded``; fails rather than bring more than ``most`` entries to the driver."""
+    rows = layer.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} abbreviations")
+    return {r.short: r.long for r in rows}

@@ -77,6 +77,12 @@ def unseen_country(tuned: tuple[float, float], left_out: list[tuple[float, float
     return (pair, single) if abs(pair - tuned[0]) > shift else tuned
 
 
+def missed_rate(entities: DataFrame, pairs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """True pairs that were never candidates, by entity, in each country: the Poisson mean of the decoder."""
+    missed = pairs.join(candidates.select("s1_id", "cand_id").distinct(), ["s1_id", "cand_id"], "left_anti").groupBy("s1_id").agg(F.count("*").alias("m"))
+    return entities.join(missed, "s1_id", "left").groupBy("country").agg((F.coalesce(F.sum("m"), F.lit(0)) / F.count("*")).alias("missed"))
+
+
 def unlabelled_diagnostic(entities: DataFrame, predicted: DataFrame, singleton_rate: float = 0.0558, mean_matches: float = 3.461) -> DataFrame:
     """Predicted singleton rate and mean matches beside the expected ones."""
     counts = entities.join(predicted.groupBy("s1_id").agg(F.countDistinct("cand_id").alias("n")), "s1_id", "left").select(F.coalesce("n", F.lit(0)).alias("n"))

@@ -285,3 +285,10 @@ SELECT 'duplicate_row' AS rule, id AS source1_entity_id, CAST(count(*) AS VARCHA
 UNION ALL SELECT 'bad_prefix', id, c FROM i WHERE NOT (starts_with(c, 'S2-') OR starts_with(c, 'S3-')) UNION ALL SELECT 'missing_entity', s1_id, '' FROM entities WHERE s1_id NOT IN (SELECT id FROM o)
 UNION ALL SELECT DISTINCT 'extra_entity', id, '' FROM o WHERE id NOT IN (SELECT s1_id FROM entities) UNION ALL SELECT 'unknown_id', id, c FROM i WHERE c NOT IN (SELECT entity_id FROM records)""",
 )
+oracle("missed_rate", C, ", m AS (SELECT p.s1_id, count(*) AS m FROM pairs p LEFT JOIN cand c ON c.s1_id = p.s1_id AND c.cand_id = p.cand_id WHERE c.cand_id IS NULL GROUP BY 1) SELECT country, round(coalesce(sum(m), 0) / count(*), 6)::DOUBLE AS missed FROM entities LEFT JOIN m USING (s1_id) GROUP BY 1")
+oracle(
+    "abbrev_dictionary", _MINED + _SLOTS,
+    f""", l1(short, long) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in X.SEED_NAMES.items())}), a2 AS (SELECT DISTINCT short, long FROM ({_accept("slots", 1, 0.5, "country, ")})), l2 AS (SELECT short, min(long) AS long FROM a2 GROUP BY 1 HAVING count(*) = 1), l3 AS ({_accept("mined", 2, 0.5)}),
+m AS (SELECT short, coalesce(l1.long, l2.long) AS long FROM l1 FULL JOIN l2 USING (short) WHERE l1.long IS NULL OR l2.long IS NULL OR l1.long = l2.long)
+SELECT short, coalesce(m.long, l3.long) AS long FROM m FULL JOIN l3 USING (short) WHERE m.long IS NULL OR l3.long IS NULL OR m.long = l3.long""",
+)

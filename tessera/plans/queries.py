@@ -578,6 +578,28 @@ def efm_decode(spark, sf):
     return decide.decode(cal, 0.05)
 
 
+@query
+def stage_c_scores(spark, sf):
+    """Third-stage scores from the listwise columns."""
+    ctx = pairs.context(scored(spark, sf))
+    columns = [c for c in ctx.columns if c.startswith("c_") and c not in ("c_name", "c_addr")]
+    rows = pairs.labelled(ctx.select("s1_id", "cand_id", "p_match", *columns), true_pairs(spark, sf))
+    new, _ = models.third_stage(rows, columns, truth(spark, sf), trees=5, depth=3)
+    return new.select("s1_id", "cand_id", "p_match", "p_new")
+
+
+@query
+def missed_rate(spark, sf):
+    m = evaluate.missed_rate(entities(spark, sf), true_pairs(spark, sf), candidates(spark, sf))
+    return m.select("country", F.round("missed", 6).alias("missed"))
+
+
+@query
+def abbrev_dictionary(spark, sf):
+    slots = corpus.slot_pairs(records(spark, sf), X.tokens(F.lower("name")), 3)
+    return corpus.dictionary(spark, X.SEED_NAMES, _mined(spark, sf), slots, 2, 0.5)
+
+
 # decision and evaluation
 
 

@@ -32,7 +32,7 @@ def test_query(spark, duck, name):
     got = sorted((tuple(plain(r[c]) for c in columns) for r in frame.collect()), key=repr)
     sql = registry.oracle_sql().get(name)
     if sql is None:
-        assert name in {"dense_knn_ivf", "token_ratios", "stage_a_features", "stage_b_features", "anchor_features", "gbt_scores", "isotonic_calibration", "efm_decode"}
+        assert name in {"dense_knn_ivf", "token_ratios", "stage_a_features", "stage_b_features", "anchor_features", "gbt_scores", "stage_c_scores", "isotonic_calibration", "efm_decode"}
         return
     cursor = duck.execute(sql)
     names = [d[0] for d in cursor.description]
