@@ -10,6 +10,7 @@ import struct
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -164,8 +165,9 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = [bpe.encode(t.as_py()) for t in batch.column(1)]
-            lists = [memoryview(x).cast("I").tolist() if x else [] for x in ids]
-            return pa.record_batch([batch.column(0), pa.array([len(x) for x in lists], pa.int64()), pa.array(lists, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())], names=[id_col, "n_tokens", "ids", "decoded"])
+            n = np.array([len(x) // 4 for x in ids], np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
+            return pa.record_batch([batch.column(0), pa.array(n), lists, pa.array([bpe.decode(x) for x in ids], pa.string())], names=[id_col, "n_tokens", "ids", "decoded"])
 
         return step
 

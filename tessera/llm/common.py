@@ -39,8 +39,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch that are worked on at a time: what a step makes in Python is bounded by these rows' texts.
+STEP_ROWS = 512
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """Apply ``make()(batch)`` to each Arrow batch of each partition.
+    """Apply ``make()(batch)`` to the rows of each partition, ``STEP_ROWS`` at a time.
 
     ``make`` runs once a task, so that it can hold state such as caches.
     """
@@ -48,26 +52,12 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                yield step(batch)
+            for at in range(0, batch.num_rows, STEP_ROWS):
+                yield step(batch.slice(at, STEP_ROWS))
 
     return df.mapInArrow(run, schema)
 
 
-def slices(items: list, most: int, size: Callable = len) -> Iterator[list]:
-    """Consecutive parts of ``items`` of at most ``most`` in size each (one item at least)."""
-    part, total = [], 0
-    for x in items:
-        n = size(x) if x is not None else 0
-        if part and total + n > most:
-            yield part
-            part, total = [], 0
-        part.append(x)
-        total += n
-    if part:
-        yield part
-
-
 def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
     """``left`` joined to ``right`` (one row a key) on ``key``, safe for hot keys.
 
