@@ -163,9 +163,15 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     path = shared_path(spark, "units")
     map_batches(rows, make, "_rank long, _hash long, unit int, digest binary, before long, after long").write.parquet(path)
     found = spark.read.parquet(path)
+    # first only a hash of the digest and its count are shuffled: most units occur once and go no further
+    often = found.groupBy(F.xxhash64("digest").alias("k")).agg(F.count("*").alias("n")).where("n > 1")
+    some = join_hot(found.withColumn("k", F.xxhash64("digest")), cut(often), "k", "n").drop("k", "n")
+    path = shared_path(spark, "repeated-units")
+    some.write.parquet(path)
+    some = spark.read.parquet(path)
     place_of = [F.col("_rank").isNull().alias("no_rank"), F.col("_rank"), F.col("_hash"), F.col("unit")]
-    first = found.groupBy("digest").agg(F.min(F.struct(*place_of, "before", "after")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    both = join_hot(found, cut(first), "digest", "n")
+    first = some.groupBy("digest").agg(F.min(F.struct(*place_of, "before", "after")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    both = join_hot(some, cut(first), "digest", "n")
     return both.where(~F.struct(*place_of).eqNullSafe(F.struct(*[F.col(f"first.{c}") for c in ("no_rank", "_rank", "_hash", "unit")]))).select("_rank", "_hash", "unit", F.col("first._rank").alias("kept"), _reach("before").alias("before"), _reach("after").alias("after"))
 
 
