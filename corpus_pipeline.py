@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, mixing, quality, simhash, substrings
+from tessera.llm import bpe, mixing, quality, shingles, substrings
 from tessera.llm.common import shared_path, table
 
 
@@ -20,8 +20,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near duplicates."""
-    return simhash.deduplicated(docs)
+    """The document of the smallest doc_id of each group of near duplicates: links of a Jaccard similarity of at least 0.8 over five-word shingles."""
+    return shingles.deduplicated(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ STAGES = [
     ("BPE encoding and decoding", encode),
 ]
 
-#: SQL cannot express a boosted classifier, SimHash components or BPE; tests/llm/test_pipeline.py holds run() against a plain version.
+#: SQL cannot express a boosted classifier, components of near duplicates or BPE; tests/llm/test_pipeline.py holds run() against a plain version.
 ORACLE_SQL = None
 
 

@@ -246,16 +246,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return join_hot(marked, ids, "fp", "copies").select(id_col, "fp", "text_hash", "component_id", "root")
 
 
+def first_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that come first in their component; ``found`` has id_col, text_hash and root of each row."""
+    first = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "text_hash")).alias("first"))
+    keep = first.select(F.struct("first.id", "first.text_hash").alias("_row"))
+    rows = docs.withColumn("_row", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash")))
+    return rows.join(keep, rows["_row"].eqNullSafe(keep["_row"]), "left_semi").dropDuplicates(["_row"]).drop("_row")
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, limit: int = 3) -> DataFrame:
     """One row of each component of ``near_duplicates``, with all columns of ``docs``: the one of the smallest id.
 
     Null ids come last; of rows of one id the one of the smallest hash of its text stays, of equal rows any one.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, limit)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "text_hash")).alias("first"))
-    keep = first.select(F.struct("first.id", "first.text_hash").alias("_row"))
-    rows = docs.withColumn("_row", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash")))
-    return rows.join(keep, rows["_row"].eqNullSafe(keep["_row"]), "left_semi").dropDuplicates(["_row"]).drop("_row")
+    return first_of_each(docs, near_duplicates(docs, id_col, text_col, shingle, limit), id_col, text_col)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
