@@ -5,8 +5,9 @@ singles out (the least hash of the eleven words around), as a passage that is co
 ends inside a sentence, and such cuts fall on the same words in both. A unit of at least ``long_unit`` words has a digest
 of its words in lower case, without outer punctuation, so that case and spacing do not hide a copy. Digests are grouped
 over all documents; the occurrence of the lowest rank (document id, then place) stays, the others are repeats. Shorter
-units repeat by chance; those between two long ones are hashed together with both, so that they count as repeated only
-where the whole sequence is. With a unit go small hashes of the words before and after it, so that a repeat is known to
+units repeat by chance; those between two long ones are hashed together with both, so that they count as repeated where
+the whole sequence is. A sequence of short units is also hashed by itself, in windows of at least ``long_unit`` words that
+end where the units' own hashes say so; a text of short units only is a window whatever its length. With a unit go small hashes of the words before and after it, so that a repeat is known to
 reach up to eleven words further on either side. A run of neighbouring repeats, with what it reaches, goes if it holds at
 least ``least_words`` words.
 """
@@ -27,6 +28,8 @@ from tessera.llm.common import cut, join_hot, map_batches, shared_path, table
 LEAST_WORDS, LONG_UNIT, AROUND = 10, 6, 5
 #: How many words before and after a unit are compared with those of the kept occurrence, by 16-bit hashes.
 REACH = (2, 4, 7, 11)
+#: Added to the number of the first unit of a window of short units; words after which a window without an end of its own is cut.
+WINDOW, CUT_WINDOW = 1 << 30, 16
 _OUTER = ".,;:!?()[]{}\"'"
 _SPACES = np.array([chr(c).isspace() for c in range(0x3002)])
 
@@ -76,6 +79,55 @@ class Cut:
         return _packed([self.plain[word : word + k] if word + k <= len(self.plain) else None for k in REACH])
 
 
+def windows(units: list[tuple[int, int, int, str]], long_unit: int) -> list[tuple[int, int]]:
+    """First unit and unit after the last of each window of short units.
+
+    A window ends after a unit of the strictly least hash of those that begin within ``long_unit`` words on either side, so
+    that copies between different neighbours are cut alike. Repetitive windows have no such unit and are cut by length.
+    """
+    found, at = [], 0
+    while at < len(units):
+        if units[at][2] >= long_unit:
+            at += 1
+            continue
+        end = at
+        while end < len(units) and units[end][2] < long_unit:
+            end += 1
+        size = [u[2] for u in units[at:end]]
+        if sum(size) < long_unit:
+            if sum(size) and end - at == len(units):
+                found.append((at, end))
+            at = end
+            continue
+        hashed = [crc32(u[3].encode("utf-8", "surrogatepass")) for u in units[at:end]]
+
+        def least(k: int, size: list[int] = size, hashed: list[int] = hashed) -> bool:
+            for step in (-1, 1):
+                seen, j = 0, k + step
+                while 0 <= j < len(size) and seen < long_unit:
+                    if size[j] and hashed[j] <= hashed[k]:
+                        return False
+                    seen += size[j]
+                    j += step
+            return size[k] > 0
+
+        ends = [k + 1 for k in range(len(size) - 1) if least(k)]
+        if ends and sum(size[: ends[0]]) < long_unit:
+            del ends[0]
+        if ends and sum(size[ends[-1] :]) < long_unit:
+            del ends[-1]
+        for a, b in zip([0, *ends], [*ends, len(size)]):
+            left, words = sum(size[a:b]), 0
+            for k in range(a, b):
+                words += size[k]
+                if words >= CUT_WINDOW and left - words >= CUT_WINDOW:
+                    found.append((at + a, at + k + 1))
+                    a, left, words = k + 1, left - words, 0
+            found.append((at + a, at + b))
+        at = end
+    return found
+
+
 def _packed(parts: list[list[str] | None]) -> int:
     total = 0
     for k, part in enumerate(parts):
@@ -89,9 +141,10 @@ def _digest(*parts: str) -> bytes:
 
 
 def digests(text: str, long_unit: int) -> list[tuple[int, bytes, int, int]]:
-    """Unit number, digest, and hashes of what stands before and after, of each long unit, and of each group of short units between two long ones (at the first's number)."""
+    """Unit number, digest, and hashes of what stands before and after, of each long unit, of each group of short units between two long ones (at the first's number), and of each window of short units (at ``WINDOW`` + the first's)."""
     found, last, short, cut = [], None, [], Cut(text)
-    for k, (a, b, n, words) in enumerate(cut.units()):
+    units = list(cut.units())
+    for k, (a, b, n, words) in enumerate(units):
         if n < long_unit:
             short.append((k, words))
             continue
@@ -99,43 +152,63 @@ def digests(text: str, long_unit: int) -> list[tuple[int, bytes, int, int]]:
             found.append((short[0][0], _digest(last, *[w for _, w in short], words), 0, 0))
         found.append((k, _digest(words), cut.before(a), cut.after(b)))
         last, short = words, []
+    for k, end in windows(units, long_unit):
+        found.append((WINDOW + k, _digest("\n", " ".join(w for *_, w in units[k:end] if w)), cut.before(units[k][0]), cut.after(units[end - 1][1])))
     return found
 
 
+def _repeated(units: list[tuple[int, int, int, str]], repeats: dict[int, tuple[int | None, int, int]], long_unit: int) -> list[tuple[int | None, int, int] | None]:
+    """For each unit, if it repeats, the kept document and by how many words the repeat reaches further before and after."""
+    known: list[tuple[int | None, int, int] | None] = [None] * len(units)
+    group, was_long = None, True
+    for k, (_, _, n, _) in enumerate(units):
+        is_long = n >= long_unit
+        if not is_long and was_long:
+            group = repeats.get(k)  # short units go as their group's first does
+        known[k] = repeats.get(k) if is_long else group
+        was_long = is_long
+    for k, end in windows(units, long_unit):
+        if WINDOW + k in repeats:
+            kept, before, after = repeats[WINDOW + k]
+            for j in range(k, end):
+                known[j] = (kept, before if j == k else 0, after if j == end - 1 else 0)
+    return known
+
+
 def runs(text: str, repeats: dict[int, tuple[int | None, int, int]], long_unit: int, least_words: int) -> list[tuple[int, int, int | None]]:
-    """Start, end (code points) and the kept document of each run of repeats with enough words.
+    """Start, end (code points) and the kept document of each run of repeats with enough words, or of all words of the text.
 
     ``repeats``: by unit number the kept document, and by how many words the repeat reaches further before and after.
     """
     found: list[tuple[int, int, int | None]] = []
     cut = Cut(text)
-    last = len(cut.starts)
-    run, of_short, was_long, free = None, False, True, 0  # run: first word, word after the last, kept document; free: no word before it has gone
-    for k, (a, b, n, _) in enumerate([*cut.units(), (last, last, 0, "")]):
-        is_long = n >= long_unit
-        if not is_long and was_long:
-            of_short = k in repeats  # short units go as their group's first does
-        was_long = is_long
-        if b > a and (k in repeats if is_long else of_short):
-            kept, before, after = repeats.get(k, (None, 0, 0))
-            if run is None:
-                run = (max(free, a - before), b, kept, after)
-            else:
-                run = (run[0], b, run[2], after if is_long else 0)
+    units, last = list(cut.units()), len(cut.starts)
+    known = _repeated(units, repeats, long_unit)
+    at, free = 0, 0  # free: no word before it has gone
+    while at < len(units):
+        if known[at] is None:
+            at += 1
             continue
-        if run is not None:
-            first, end = run[0], min(last, run[1] + run[3])
-            if sum(map(bool, cut.plain[first:end])) >= least_words:
-                start, stop = cut.place(first), cut.place(end)
-                if found and found[-1][1] >= start and found[-1][2] == run[2]:
-                    found[-1] = (found[-1][0], stop, run[2])
-                else:
-                    found.append((start, stop, run[2]))
-                free = end
-        run = None
+        end = at
+        while end < len(units) and known[end] is not None:
+            end += 1
+        first, stop = max(free, units[at][0] - known[at][1]), min(last, units[end - 1][1] + known[end - 1][2])
+        if sum(map(bool, cut.plain[first:stop])) >= least_words or (first, stop) == (0, last):
+            free = _goes(found, cut, first, stop, known[at][0])
+        at = end
     return found
 
 
+def _goes(found: list[tuple[int, int, int | None]], cut: Cut, first: int, end: int, kept: int | None) -> int:
+    """Adds the words from ``first`` to ``end`` to what goes, and returns ``end``."""
+    start, stop = cut.place(first), cut.place(end)
+    if found and found[-1][1] >= start and found[-1][2] == kept:
+        found[-1] = (found[-1][0], stop, kept)
+    else:
+        found.append((start, stop, kept))
+    return end
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with the row's id and a hash of its text, which together stand for the row."""
     return docs.withColumns({"_rank": F.col(id_col).cast("long"), "_hash": F.xxhash64(text_col)})
