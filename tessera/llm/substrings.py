@@ -9,7 +9,8 @@ units repeat by chance; those between two long ones are hashed together with bot
 the whole sequence is. A sequence of short units is also hashed by itself, in windows of at least ``long_unit`` words that
 end where the units' own hashes say so; a text of short units only is a window whatever its length. With a unit go small hashes of the words before and after it, so that a repeat is known to
 reach up to eleven words further on either side. A run of neighbouring repeats, with what it reaches, goes if it holds at
-least ``least_words`` words.
+least ``least_words`` words; the minimum is for parts of a line. A whole line of at least ``long_unit`` words is hashed as
+such, too, and goes wherever an earlier one has the same words.
 """
 
 from __future__ import annotations
@@ -24,22 +25,25 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, join_hot, map_batches, shared_path, table
 
-#: Words that a run holds at least to go, and that a unit holds at least to be hashed by itself; words on either side that a cut inside a sentence looks at.
+#: Words that a run of less than a line holds at least to go, and that a unit holds at least to be hashed by itself; words on either side that a cut inside a sentence looks at.
 LEAST_WORDS, LONG_UNIT, AROUND = 10, 6, 5
 #: How many words before and after a unit are compared with those of the kept occurrence, by 16-bit hashes.
 REACH = (2, 4, 7, 11)
 #: Added to the number of the first unit of a window of short units; words after which a window without an end of its own is cut.
 WINDOW, CUT_WINDOW = 1 << 30, 16
+#: Added to the number of a line's first unit.
+LINE = 1 << 29
 _OUTER = ".,;:!?()[]{}\"'"
 _SPACES = np.array([chr(c).isspace() for c in range(0x3002)])
 
 
 class Cut:
-    """A text cut into units: ``starts`` (code points) and ``plain`` (normal form) of its words, ``cuts`` (each unit's first word, and the number of words)."""
+    """A text cut into units: ``starts`` (code points) and ``plain`` (normal form) of its words, ``cuts`` (each unit's first word, and the number of words), ``breaks`` (the first word of each line)."""
 
     def __init__(self, text: str, around: int = AROUND):
         words = text.split()
         self.size, self.plain, self.starts, self.cuts = len(text), [w.strip(_OUTER) for w in text.lower().split()], [], [0]
+        self.breaks: set[int] = set()
         if not words:
             return
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -58,6 +62,7 @@ class Cut:
             middle = np.arange(around, n - around - 1)
             least = (windows <= hashed[middle, None]).sum(axis=1) == 1
             ends[middle] |= least & (sentence[middle - around] == sentence[middle + around + 1])
+        self.breaks = {0, *(np.flatnonzero(line[1:] != line[:-1]) + 1).tolist()}
         self.starts, self.cuts = starts.tolist(), [0, *(np.flatnonzero(ends[:-1]) + 1).tolist(), n]
 
     def units(self):
@@ -66,6 +71,12 @@ class Cut:
             part = [w for w in self.plain[a:b] if w]
             yield a, b, len(part), " ".join(part)
 
+    def lines(self, units: list[tuple[int, int, int, str]], long_unit: int) -> list[tuple[int, int, int]]:
+        """First unit, unit after the last, and number of words, of each line of at least ``long_unit`` words."""
+        first = [k for k, u in enumerate(units) if u[0] in self.breaks]
+        counted = ((a, b, sum(u[2] for u in units[a:b])) for a, b in zip(first, [*first[1:], len(units)]))
+        return [x for x in counted if x[2] >= long_unit]
+
     def place(self, word: int) -> int:
         """Where a word starts; white space belongs to the word before it, at the text's start to the first."""
         return 0 if word <= 0 else self.starts[word] if word < len(self.starts) else self.size
@@ -140,8 +151,8 @@ def _digest(*parts: str) -> bytes:
     return blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def digests(text: str, long_unit: int) -> list[tuple[int, bytes, int, int]]:
-    """Unit number, digest, and hashes of what stands before and after, of each long unit, of each group of short units between two long ones (at the first's number), and of each window of short units (at ``WINDOW`` + the first's)."""
+def digests(text: str, long_unit: int, least_words: int = LEAST_WORDS) -> list[tuple[int, bytes, int, int]]:
+    """Unit number, digest, and hashes of what stands before and after, of each long unit, of each group of short units between two long ones (at the first's number), of each window of short units (at ``WINDOW`` + the first's), and of each line that these do not settle (at ``LINE`` + the first's): one of under ``least_words`` words or with short units."""
     found, last, short, cut = [], None, [], Cut(text)
     units = list(cut.units())
     for k, (a, b, n, words) in enumerate(units):
@@ -154,6 +165,9 @@ def digests(text: str, long_unit: int) -> list[tuple[int, bytes, int, int]]:
         last, short = words, []
     for k, end in windows(units, long_unit):
         found.append((WINDOW + k, _digest("\n", " ".join(w for *_, w in units[k:end] if w)), cut.before(units[k][0]), cut.after(units[end - 1][1])))
+    for k, end, n in cut.lines(units, long_unit):
+        if n < least_words or any(u[2] < long_unit for u in units[k:end]):
+            found.append((LINE + k, _digest("\n\n", " ".join(w for *_, w in units[k:end] if w)), 0, 0))
     return found
 
 
@@ -176,7 +190,7 @@ def _repeated(units: list[tuple[int, int, int, str]], repeats: dict[int, tuple[i
 
 
 def runs(text: str, repeats: dict[int, tuple[int | None, int, int]], long_unit: int, least_words: int) -> list[tuple[int, int, int | None]]:
-    """Start, end (code points) and the kept document of each run of repeats with enough words, or of all words of the text.
+    """Start, end (code points) and the kept document of each run of repeats with enough words, or of all words of the text, and of each repeated line.
 
     ``repeats``: by unit number the kept document, and by how many words the repeat reaches further before and after.
     """
@@ -184,6 +198,12 @@ def runs(text: str, repeats: dict[int, tuple[int | None, int, int]], long_unit:
     cut = Cut(text)
     units, last = list(cut.units()), len(cut.starts)
     known = _repeated(units, repeats, long_unit)
+    line_end = {}
+    for k, end, _ in cut.lines(units, long_unit):
+        if LINE + k in repeats:
+            line_end[k] = end
+            for j in range(k, end):
+                known[j] = known[j] or (repeats[LINE + k][0], 0, 0)
     at, free = 0, 0  # free: no word before it has gone
     while at < len(units):
         if known[at] is None:
@@ -195,6 +215,10 @@ def runs(text: str, repeats: dict[int, tuple[int | None, int, int]], long_unit:
         first, stop = max(free, units[at][0] - known[at][1]), min(last, units[end - 1][1] + known[end - 1][2])
         if sum(map(bool, cut.plain[first:stop])) >= least_words or (first, stop) == (0, last):
             free = _goes(found, cut, first, stop, known[at][0])
+        else:
+            for k in range(at, end):
+                if k in line_end:
+                    free = _goes(found, cut, units[k][0], units[line_end[k] - 1][1], repeats[LINE + k][0])
         at = end
     return found
 
@@ -214,7 +238,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumns({"_rank": F.col(id_col).cast("long"), "_hash": F.xxhash64(text_col)})
 
 
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_unit: int = LONG_UNIT) -> DataFrame:
+def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_unit: int = LONG_UNIT, least_words: int = LEAST_WORDS) -> DataFrame:
     """Every occurrence of a unit but the kept one: _rank, _hash (of the row), unit, kept (the id of the document that keeps it), before and after (words that the repeat reaches further)."""
     spark = docs.sparkSession
 
@@ -222,7 +246,7 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             row, found = [], []
             for i, t in enumerate(batch.column(2)):
-                of_text = digests(t.as_py() or "", long_unit)
+                of_text = digests(t.as_py() or "", long_unit, least_words)
                 row += [i] * len(of_text)
                 found += of_text
             row = pa.array(row, pa.int64())
@@ -267,7 +291,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ids as integers, null last; rows of equal id and equal text count as one row, and all get its result. Null texts stay
     null. The units of a text that is copied many times are joined by ``join_hot``; a text is shuffled once.
     """
-    repeats = repeated_units(docs, id_col, text_col, long_unit).distinct()
+    repeats = repeated_units(docs, id_col, text_col, long_unit, least_words).distinct()
     by_row = repeats.groupBy("_rank", "_hash").agg(F.collect_list(F.struct("unit", "kept", "before", "after")).alias("_units"))
     by_row = by_row.select(F.col("_rank").alias("_r"), F.col("_hash").alias("_h"), "_units")
     rows = _keyed(docs, id_col, text_col)
