@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a table that ``join_hot`` broadcasts: a fixed bound, whatever the input.
@@ -20,11 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; where that is unset (tests), a folder of our own."""
+    """The shared folder that the session names in spark.checkpoint.dir, or that its context has; without either, one in the warehouse, which all nodes share, too."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tessera-checkpoints")
     return named or sc.getCheckpointDir()
 
 
@@ -58,16 +57,44 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
-    """``left`` joined to ``right`` (one row a key) on ``key``, safe for hot keys.
+#: Bytes of an Arrow batch, beyond which a batch holds one row only.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of bytes in an Arrow batch, so that few long texts are in memory at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not BATCH_BYTES >= int(str(spark.conf.get(name)).rstrip("bB")) > 0:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def col(name: str) -> Column:
+    """The column of exactly that name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with underscores in front until no column, in any case of letters, has that name."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        n = "_" + n
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], weight: str, how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right`` (one row a key) on ``key``, one column or several, safe for hot keys.
 
     ``weight`` is the column of ``right`` that counts the key's rows in ``left``. The ``HOT_KEYS`` heaviest keys, a fixed
     number, are joined by broadcast; each other key has at most 1/HOT_KEYS of the rows, so that a shuffled join is even.
     ``right`` should be cut or cheap, as it is read more than once. ``how``: inner or left.
     """
-    hot = right.orderBy(F.col(weight).desc(), F.col(key)).limit(HOT_KEYS)
-    hot = cut(hot)
-    keys = F.broadcast(hot.select(key))
+    key = [key] if isinstance(key, str) else key
+    hot = cut(right.orderBy(F.col(weight).desc(), *key).limit(HOT_KEYS))
+    keys = F.broadcast(hot.select(*key))
     warm = left.join(F.broadcast(hot), key, "inner")
     cold = left.join(keys, key, "left_anti").join(right.join(keys, key, "left_anti"), key, how)
     return warm.unionByName(cold)

@@ -1,327 +1,319 @@
 """Removal of repeated passages by hashing lines, sentences and parts of long sentences.
 
-A text is cut into units: lines, within lines sentences, and long sentences once more after words that the text itself
-singles out (the least hash of the eleven words around), as a passage that is copied into another text often starts and
-ends inside a sentence, and such cuts fall on the same words in both. A unit of at least ``long_unit`` words has a digest
-of its words in lower case, without outer punctuation, so that case and spacing do not hide a copy. Digests are grouped
-over all documents; the occurrence of the lowest rank (document id, then place) stays, the others are repeats. Shorter
-units repeat by chance; those between two long ones are hashed together with both, so that they count as repeated where
-the whole sequence is. A sequence of short units is also hashed by itself, in windows of at least ``long_unit`` words that
-end where the units' own hashes say so; a text of short units only is a window whatever its length. With a unit go small hashes of the words before and after it, so that a repeat is known to
-reach up to eleven words further on either side. A run of neighbouring repeats, with what it reaches, goes if it holds at
-least ``least_words`` words; the minimum is for parts of a line. A whole line of at least ``long_unit`` words is hashed as
-such, too, and goes wherever an earlier one has the same words.
+A text is cut into units that do not overlap: lines, within lines sentences, and within long sentences parts that end after
+words which the text itself singles out (the strictly least hash of the seven words around), as a passage that is copied
+into another text often starts and ends inside a sentence, and such cuts fall on the same words in both. Sequences of
+sentences of under ``LONG_SENTENCE`` words in a line, or of lines of under ``long_unit`` words, make one unit or several of
+at least ``long_unit`` words, which end where the sentences' own hashes say so. A unit's normal form is its words in lower case without outer punctuation, so that case and spacing do not hide a
+copy, and its digest is the 128-bit BLAKE2 of that. What is left of under ``long_unit`` words between two units counts
+together with both (or the line's end), as so few words repeat by chance; at the text's start or end, where a text has other
+units, such a rest stays.
+
+Digests are grouped over all documents. The occurrence of the lowest rank (document id, then place) stays; the others are
+repeats. A run of neighbouring repeats goes if it holds at least ``least_words`` words; the minimum is for parts of a line,
+and a whole line of at least ``least_line`` words goes wherever an earlier one has the same words, and so does a whole text.
+Every unit is either kept or gone as a whole: nothing goes without a digest of its own that an earlier unit has, too, and
+what is kept for others is never cut.
 """
 
 from __future__ import annotations
 
 from hashlib import blake2b
-from zlib import crc32
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from tessera.llm.common import cut, join_hot, map_batches, shared_path, table
-
-#: Words that a run of less than a line holds at least to go, and that a unit holds at least to be hashed by itself; words on either side that a cut inside a sentence looks at.
-LEAST_WORDS, LONG_UNIT, AROUND = 10, 6, 5
-#: How many words before and after a unit are compared with those of the kept occurrence, by 16-bit hashes.
-REACH = (2, 4, 7, 11)
-#: Added to the number of the first unit of a window of short units; words after which a window without an end of its own is cut.
-WINDOW, CUT_WINDOW = 1 << 30, 16
-#: Added to the number of a line's first unit.
-LINE = 1 << 29
-_OUTER = ".,;:!?()[]{}\"'"
-_SPACES = np.array([chr(c).isspace() for c in range(0x3002)])
-
-
-class Cut:
-    """A text cut into units: ``starts`` (code points) and ``plain`` (normal form) of its words, ``cuts`` (each unit's first word, and the number of words), ``breaks`` (the first word of each line)."""
-
-    def __init__(self, text: str, around: int = AROUND):
-        words = text.split()
-        self.size, self.plain, self.starts, self.cuts = len(text), [w.strip(_OUTER) for w in text.lower().split()], [], [0]
-        self.breaks: set[int] = set()
-        if not words:
-            return
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        space = _SPACES[np.minimum(points, len(_SPACES) - 1)]
+from pyspark.sql import types as T
+
+from tessera.llm.common import col, cut, fresh, join_hot, map_batches, shared_path, small_batches, table
+
+#: Words that a run of less than a line holds at least to go, that a line holds at least to go by itself, that a sentence holds at least to be a unit, and that a unit of shorter ones holds at least; words on either side that a cut inside a sentence looks at.
+LEAST_WORDS, LEAST_LINE, LONG_SENTENCE, LONG_UNIT, AROUND = 10, 6, 6, 4, 3
+#: Words after which a sequence of short units without an end of its own is cut.
+CUT_SHORT = 16
+_SPACE, _OUTER = np.zeros(0x3002, bool), np.zeros(0x3002, bool)
+_SPACE[[c for c in range(0x3001) if chr(c).isspace()]] = True
+_OUTER[[ord(c) for c in ".,;:!?()[]{}\"'"]] = True
+#: Odd powers, one for each place in a word, with which a word's characters are added up for the places of cuts.
+_POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
+
+
+class Units:
+    """The units of a text: ``starts`` (code points, each unit's first and the text's size at the end), ``words`` (words of each), ``line`` (the long line that each is part of, else -1) and ``digests`` (None: never goes)."""
+
+    def __init__(self, text: str, long_unit: int = LONG_UNIT, around: int = AROUND):
+        self.starts, self.words, self.line, self.digests = [0], [], [], []
+        low = text.lower()
+        if len(low) != len(text):  # a few capitals have two characters in lower case
+            low = "".join([x if len(x := c.lower()) == 1 else c for c in text])
+        points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = np.minimum(points, 0x3001)
+        space = _SPACE[kind]
         edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
-        starts, last = edge[::2], points[edge[1::2] - 1]
-        n = len(starts)
-        line = np.searchsorted(np.flatnonzero(points == 10), starts)
-        ends = np.zeros(n, bool)  # whether a unit ends after the word
-        ends[:-1] = (line[1:] != line[:-1]) | np.isin(last[:-1], (0x2E, 0x21, 0x3F))
-        width = 2 * around + 1
+        first, last = edge[::2], edge[1::2]
+        n = len(first)
+        if not n:
+            return
+        solid = np.flatnonzero(~(space | _OUTER[kind]))
+        lo, hi = np.searchsorted(solid, first), np.searchsorted(solid, last)
+        whole = lo < hi  # words with more than punctuation
+        a = solid[np.minimum(lo, len(solid) - 1)] if len(solid) else first
+        b = solid[hi - 1] + 1 if len(solid) else first
+        a, b = np.where(whole, a, 0), np.where(whole, b, 0)
+        # the normal form of the text: its words without outer punctuation, a blank after each
+        take = np.zeros(len(points) + 1, np.int8)
+        np.add.at(take, a[whole], 1)
+        np.add.at(take, b[whole], -1)
+        take = np.cumsum(take, dtype=np.int8) > 0
+        take[b[whole]] = True
+        normal = np.append(points, np.uint32(0x20))
+        normal[b[whole]] = 0x20
+        self._normal = normal[take].astype("<u4").tobytes()
+        size = np.where(whole, b - a + 1, 0)
+        self._at = np.concatenate(([0], np.cumsum(size) * 4))
+        line = np.searchsorted(np.flatnonzero(points == 10), first)
+        ends = np.ones(n, bool)  # whether a unit ends after the word
+        ends[:-1] = (line[1:] != line[:-1]) | np.isin(points[last[:-1] - 1], (0x2E, 0x21, 0x3F))
+        weight = self._hashes(points, a, b, whole) if n else None
+        width, inside = 2 * around + 1, np.empty(0, np.int64)
         if n > width:
             sentence = np.concatenate(([0], np.cumsum(ends[:-1])))
-            hashed = np.fromiter((crc32(w.encode("utf-8", "surrogatepass")) for w in self.plain), np.int64, n)
-            windows = np.lib.stride_tricks.sliding_window_view(hashed, width)[:-1]
             middle = np.arange(around, n - around - 1)
-            least = (windows <= hashed[middle, None]).sum(axis=1) == 1
-            ends[middle] |= least & (sentence[middle - around] == sentence[middle + around + 1])
-        self.breaks = {0, *(np.flatnonzero(line[1:] != line[:-1]) + 1).tolist()}
-        self.starts, self.cuts = starts.tolist(), [0, *(np.flatnonzero(ends[:-1]) + 1).tolist(), n]
-
-    def units(self):
-        """First word, word after the last, number of words that are not empty in normal form, and the normal form, of each unit."""
-        for a, b in zip(self.cuts, self.cuts[1:]):
-            part = [w for w in self.plain[a:b] if w]
-            yield a, b, len(part), " ".join(part)
-
-    def lines(self, units: list[tuple[int, int, int, str]], long_unit: int) -> list[tuple[int, int, int]]:
-        """First unit, unit after the last, and number of words, of each line of at least ``long_unit`` words."""
-        first = [k for k, u in enumerate(units) if u[0] in self.breaks]
-        counted = ((a, b, sum(u[2] for u in units[a:b])) for a, b in zip(first, [*first[1:], len(units)]))
-        return [x for x in counted if x[2] >= long_unit]
-
-    def place(self, word: int) -> int:
-        """Where a word starts; white space belongs to the word before it, at the text's start to the first."""
-        return 0 if word <= 0 else self.starts[word] if word < len(self.starts) else self.size
-
-    def before(self, word: int) -> int:
-        """Hashes of the last 2, 4, 7 and 11 words before a word, in one signed integer; 0 where there are fewer."""
-        return _packed([self.plain[word - k : word] if word >= k else None for k in REACH])
-
-    def after(self, word: int) -> int:
-        """The same of the words from this one on."""
-        return _packed([self.plain[word : word + k] if word + k <= len(self.plain) else None for k in REACH])
-
-
-def windows(units: list[tuple[int, int, int, str]], long_unit: int) -> list[tuple[int, int]]:
-    """First unit and unit after the last of each window of short units.
-
-    A window ends after a unit of the strictly least hash of those that begin within ``long_unit`` words on either side, so
-    that copies between different neighbours are cut alike. Repetitive windows have no such unit and are cut by length.
-    """
-    found, at = [], 0
-    while at < len(units):
-        if units[at][2] >= long_unit:
-            at += 1
-            continue
-        end = at
-        while end < len(units) and units[end][2] < long_unit:
-            end += 1
-        size = [u[2] for u in units[at:end]]
-        if sum(size) < long_unit:
-            if sum(size) and end - at == len(units):
-                found.append((at, end))
+            middle = middle[sentence[middle - around] == sentence[middle + around + 1]]
+            if len(middle):
+                near = np.lib.stride_tricks.sliding_window_view(weight, width)[middle - around]
+                inside = middle[(near <= weight[middle, None]).sum(axis=1) == 1]
+                ends[inside] = True
+        cuts = np.concatenate(([0], np.flatnonzero(ends) + 1))
+        counted = np.concatenate(([0], np.cumsum(whole)))
+        part = np.isin(cuts[1:] - 1, inside) | np.isin(cuts[:-1] - 1, inside)
+        of_line = np.bincount(line, whole, minlength=line[-1] + 1)
+        place = np.where(of_line[line[cuts[:-1]]] >= long_unit, line[cuts[:-1]], -1)
+        self._group(cuts.tolist(), np.diff(counted[cuts]).tolist(), part.tolist(), place.tolist(), weight, long_unit)
+        starts = first[self._cuts[:-1]]
+        starts[0] = 0
+        self.starts = [*starts.tolist(), len(points)]
+
+    @staticmethod
+    def _hashes(points: np.ndarray, a: np.ndarray, b: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """A hash of each word, for the places of cuts only; words of nothing but punctuation have the greatest."""
+        out = np.full(len(a), np.uint64(2**64 - 1))
+        a, size = a[whole], (b - a)[whole]
+        if len(a):
+            inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            x = (points[np.repeat(a, size) + inside].astype(np.uint64) + np.uint64(1)) * _POWERS[inside & 63]
+            x = np.add.reduceat(x, np.cumsum(size) - size)
+            x ^= x >> np.uint64(31)
+            x *= np.uint64(0xD6E8FEB86659FD93)
+            out[whole] = x ^ (x >> np.uint64(32))
+        return out
+
+    def _digest(self, a: int, b: int) -> bytes:
+        return blake2b(self._normal[self._at[a] : self._at[b]], digest_size=16).digest()
+
+    def _group(self, cuts: list[int], words: list[int], part: list[bool], line: list[int], weight: np.ndarray, long_unit: int) -> None:
+        """Puts short sentences together, and hashes all."""
+        long = [n >= LONG_SENTENCE or is_part and n > 0 for n, is_part in zip(words, part)]
+        found: list[tuple[int, int, int, int]] = []  # first word, end, words, line
+        left: set[int] = set()  # what is too short to be hashed alone
+        at = 0
+        while at < len(words):
+            if long[at]:
+                found.append((cuts[at], cuts[at + 1], words[at], line[at]))
+                at += 1
+                continue
+            end = at
+            while end < len(words) and not long[end] and line[end] == line[at]:
+                end += 1
+            if sum(words[at:end]) < long_unit:
+                left.add(len(found))
+                found.append((cuts[at], cuts[end], sum(words[at:end]), line[at]))
+            else:
+                mark = [int(weight[x:y].min()) if n else 2**64 for x, y, n in zip(cuts[at:end], cuts[at + 1 :], words[at:end])]
+                for x, y in sequences(words[at:end], mark, long_unit):
+                    found.append((cuts[at + x], cuts[at + y], sum(words[at + x : at + y]), line[at]))
             at = end
-            continue
-        hashed = [crc32(u[3].encode("utf-8", "surrogatepass")) for u in units[at:end]]
-
-        def least(k: int, size: list[int] = size, hashed: list[int] = hashed) -> bool:
-            for step in (-1, 1):
-                seen, j = 0, k + step
-                while 0 <= j < len(size) and seen < long_unit:
-                    if size[j] and hashed[j] <= hashed[k]:
-                        return False
-                    seen += size[j]
-                    j += step
-            return size[k] > 0
-
-        ends = [k + 1 for k in range(len(size) - 1) if least(k)]
-        if ends and sum(size[: ends[0]]) < long_unit:
-            del ends[0]
-        if ends and sum(size[ends[-1] :]) < long_unit:
-            del ends[-1]
-        for a, b in zip([0, *ends], [*ends, len(size)]):
-            left, words = sum(size[a:b]), 0
-            for k in range(a, b):
-                words += size[k]
-                if words >= CUT_WINDOW and left - words >= CUT_WINDOW:
-                    found.append((at + a, at + k + 1))
-                    a, left, words = k + 1, left - words, 0
-            found.append((at + a, at + b))
-        at = end
+        own = [self._digest(a, b) for a, b, _, _ in found]
+        self._cuts = [*[x[0] for x in found], cuts[-1]]
+        self.words, self.line = [x[2] for x in found], [x[3] for x in found]
+        self.digests = list(own)
+        for k in left:
+            if len(found) == 1:
+                continue  # all of the text
+            beside = []
+            for j in (k - 1, k + 1):
+                inside = 0 <= j < len(found)
+                if inside and found[j][3] == found[k][3] or inside and found[k][3] < 0:
+                    beside.append(own[j])
+                else:
+                    beside.append(b"line" if found[k][3] >= 0 else None)
+            self.digests[k] = None if None in beside or not self.words[k] else blake2b(beside[0] + own[k] + beside[1], digest_size=16, person=b"between").digest()
+
+
+def sequences(words: list[int], mark: list[int], long_unit: int) -> list[tuple[int, int]]:
+    """First and end of each part of a sequence of short units, which together hold ``long_unit`` words at least.
+
+    A part ends after a unit with a mark below those of the nearest units on either side that have words, so that copies
+    between different neighbours are cut alike; a part of too few words goes with the next one. Parts without such an end
+    are cut by length.
+    """
+    ends: list[int] = []
+    some = [k for k, n in enumerate(words) if n]
+    for x, k in enumerate(some[:-1]):
+        if (x == 0 or mark[k] < mark[some[x - 1]]) and mark[k] < mark[some[x + 1]] and sum(words[ends[-1] if ends else 0 : k + 1]) >= long_unit:
+            ends.append(k + 1)
+    if ends and sum(words[ends[-1] :]) < long_unit:
+        del ends[-1]
+    found = []
+    for a, b in zip([0, *ends], [*ends, len(words)]):
+        left, held = sum(words[a:b]), 0
+        for k in range(a, b):
+            held += words[k]
+            if held >= CUT_SHORT and left - held >= CUT_SHORT:
+                found.append((a, k + 1))
+                a, left, held = k + 1, left - held, 0
+        found.append((a, b))
     return found
 
 
-def _packed(parts: list[list[str] | None]) -> int:
-    total = 0
-    for k, part in enumerate(parts):
-        if part is not None:
-            total |= (crc32(" ".join(part).encode("utf-8", "surrogatepass")) % 0xFFFF + 1) << 16 * k
-    return total - (1 << 64) if total >> 63 else total
-
-
-def _digest(*parts: str) -> bytes:
-    return blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-
-
-def digests(text: str, long_unit: int, least_words: int = LEAST_WORDS) -> list[tuple[int, bytes, int, int]]:
-    """Unit number, digest, and hashes of what stands before and after, of each long unit, of each group of short units between two long ones (at the first's number), of each window of short units (at ``WINDOW`` + the first's), and of each line that these do not settle (at ``LINE`` + the first's): one of under ``least_words`` words or with short units."""
-    found, last, short, cut = [], None, [], Cut(text)
-    units = list(cut.units())
-    for k, (a, b, n, words) in enumerate(units):
-        if n < long_unit:
-            short.append((k, words))
+def gone(words: list[int], line: list[int], repeats: set[int], least_words: int = LEAST_WORDS, least_line: int = LEAST_LINE) -> list[int]:
+    """The units that go, of those that are repeats: runs of enough words, whole long lines, and whole texts."""
+    out: list[int] = []
+    for is_repeat, run in groupby(range(len(words)), repeats.__contains__):
+        run = list(run)
+        if not is_repeat:
             continue
-        if last is not None and short:
-            found.append((short[0][0], _digest(last, *[w for _, w in short], words), 0, 0))
-        found.append((k, _digest(words), cut.before(a), cut.after(b)))
-        last, short = words, []
-    for k, end in windows(units, long_unit):
-        found.append((WINDOW + k, _digest("\n", " ".join(w for *_, w in units[k:end] if w)), cut.before(units[k][0]), cut.after(units[end - 1][1])))
-    for k, end, n in cut.lines(units, long_unit):
-        if n < least_words or any(u[2] < long_unit for u in units[k:end]):
-            found.append((LINE + k, _digest("\n\n", " ".join(w for *_, w in units[k:end] if w)), 0, 0))
-    return found
+        if sum(words[k] for k in run) >= least_words or len(run) == len(words):
+            out += run
+            continue
+        for number, part in groupby(run, line.__getitem__):
+            part = list(part)
+            whole = (part[0] == 0 or line[part[0] - 1] != number) and (part[-1] == len(words) - 1 or line[part[-1] + 1] != number)
+            if number >= 0 and whole and sum(words[k] for k in part) >= least_line:
+                out += part
+    return out
 
 
-def _repeated(units: list[tuple[int, int, int, str]], repeats: dict[int, tuple[int | None, int, int]], long_unit: int) -> list[tuple[int | None, int, int] | None]:
-    """For each unit, if it repeats, the kept document and by how many words the repeat reaches further before and after."""
-    known: list[tuple[int | None, int, int] | None] = [None] * len(units)
-    group, was_long = None, True
-    for k, (_, _, n, _) in enumerate(units):
-        is_long = n >= long_unit
-        if not is_long and was_long:
-            group = repeats.get(k)  # short units go as their group's first does
-        known[k] = repeats.get(k) if is_long else group
-        was_long = is_long
-    for k, end in windows(units, long_unit):
-        if WINDOW + k in repeats:
-            kept, before, after = repeats[WINDOW + k]
-            for j in range(k, end):
-                known[j] = (kept, before if j == k else 0, after if j == end - 1 else 0)
-    return known
-
-
-def runs(text: str, repeats: dict[int, tuple[int | None, int, int]], long_unit: int, least_words: int) -> list[tuple[int, int, int | None]]:
-    """Start, end (code points) and the kept document of each run of repeats with enough words, or of all words of the text, and of each repeated line.
-
-    ``repeats``: by unit number the kept document, and by how many words the repeat reaches further before and after.
-    """
+def spans(starts: list[int], units: list[int], kept: dict[int, tuple]) -> list[tuple[int, int, int | None]]:
+    """Start, end and the kept document's id of each passage: neighbouring units that stand one after the other in one kept document."""
     found: list[tuple[int, int, int | None]] = []
-    cut = Cut(text)
-    units, last = list(cut.units()), len(cut.starts)
-    known = _repeated(units, repeats, long_unit)
-    line_end = {}
-    for k, end, _ in cut.lines(units, long_unit):
-        if LINE + k in repeats:
-            line_end[k] = end
-            for j in range(k, end):
-                known[j] = known[j] or (repeats[LINE + k][0], 0, 0)
-    at, free = 0, 0  # free: no word before it has gone
-    while at < len(units):
-        if known[at] is None:
-            at += 1
-            continue
-        end = at
-        while end < len(units) and known[end] is not None:
-            end += 1
-        first, stop = max(free, units[at][0] - known[at][1]), min(last, units[end - 1][1] + known[end - 1][2])
-        if sum(map(bool, cut.plain[first:stop])) >= least_words or (first, stop) == (0, last):
-            free = _goes(found, cut, first, stop, known[at][0])
+    before = None
+    for k in units:
+        no_id, i, h, place = kept[k]
+        if before == (k - 1, no_id, i, h, place - 1):
+            found[-1] = (found[-1][0], starts[k + 1], found[-1][2])
         else:
-            for k in range(at, end):
-                if k in line_end:
-                    free = _goes(found, cut, units[k][0], units[line_end[k] - 1][1], repeats[LINE + k][0])
-        at = end
+            found.append((starts[k], starts[k + 1], None if no_id else i))
+        before = (k, no_id, i, h, place)
     return found
 
 
-def _goes(found: list[tuple[int, int, int | None]], cut: Cut, first: int, end: int, kept: int | None) -> int:
-    """Adds the words from ``first`` to ``end`` to what goes, and returns ``end``."""
-    start, stop = cut.place(first), cut.place(end)
-    if found and found[-1][1] >= start and found[-1][2] == kept:
-        found[-1] = (found[-1][0], stop, kept)
-    else:
-        found.append((start, stop, kept))
-    return end
+#: What stands for a row: whether its id is null, the id (0 if null), and a hash of its text.
+_ROW = ("no_id", "id", "hash")
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with the row's id and a hash of its text, which together stand for the row."""
-    return docs.withColumns({"_rank": F.col(id_col).cast("long"), "_hash": F.xxhash64(text_col)})
+def _row(id_col: str, text_col: str) -> dict:
+    i = col(id_col).cast("long")
+    return {"no_id": i.isNull(), "id": F.coalesce(i, F.lit(0).cast("long")), "hash": F.xxhash64(col(text_col))}
 
 
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_unit: int = LONG_UNIT, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Every occurrence of a unit but the kept one: _rank, _hash (of the row), unit, kept (the id of the document that keeps it), before and after (words that the repeat reaches further)."""
+def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_unit: int = LONG_UNIT) -> DataFrame:
+    """One row per row: no_id, id, hash, starts, words, line (as in ``Units``) and digests (array of two longs a unit, null for what never goes), written to the shared folder."""
     spark = docs.sparkSession
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            row, found = [], []
-            for i, t in enumerate(batch.column(2)):
-                of_text = digests(t.as_py() or "", long_unit, least_words)
-                row += [i] * len(of_text)
-                found += of_text
-            row = pa.array(row, pa.int64())
-            number, digest, before, after = zip(*found) if found else ([], [], [], [])
-            columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array(number, pa.int32()), pa.array(digest, pa.binary()), pa.array(before, pa.int64()), pa.array(after, pa.int64())]
-            return pa.record_batch(columns, names=["_rank", "_hash", "unit", "digest", "before", "after"])
+            columns: list[list] = [[], [], []]
+            digests, sizes, known = [], [], []
+            for t in batch.column(3):
+                of_text = Units(t.as_py() or "", long_unit)
+                for c, x in zip(columns, (of_text.starts, of_text.words, of_text.line)):
+                    c.append(x)
+                digests += [d or b"\0" * 16 for d in of_text.digests]
+                known += [d is not None for d in of_text.digests]
+                sizes.append(len(of_text.digests))
+            two = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            pairs = pa.StructArray.from_arrays([pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], names=["a", "b"], mask=pa.array(~np.array(known, bool)))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pairs)
+            return pa.record_batch([batch.column(0), batch.column(1), batch.column(2), *[pa.array(c, pa.list_(pa.int32())) for c in columns], lists], names=[*_ROW, "starts", "words", "line", "digests"])
 
         return step
 
-    rows = _keyed(docs.select(id_col, text_col), id_col, text_col).select("_rank", "_hash", text_col)
+    small_batches(spark)
+    rows = docs.select(*[c.alias(n) for n, c in _row(id_col, text_col).items()], col(text_col).cast("string").alias("text"))
     path = shared_path(spark, "units")
-    map_batches(rows, make, "_rank long, _hash long, unit int, digest binary, before long, after long").write.parquet(path)
-    found = spark.read.parquet(path)
-    # first only a hash of the digest and its count are shuffled: most units occur once and go no further
-    often = found.groupBy(F.xxhash64("digest").alias("k")).agg(F.count("*").alias("n")).where("n > 1")
-    some = join_hot(found.withColumn("k", F.xxhash64("digest")), cut(often), "k", "n").drop("k", "n")
-    path = shared_path(spark, "repeated-units")
-    some.write.parquet(path)
-    some = spark.read.parquet(path)
-    place_of = [F.col("_rank").isNull().alias("no_rank"), F.col("_rank"), F.col("_hash"), F.col("unit")]
-    first = some.groupBy("digest").agg(F.min(F.struct(*place_of, "before", "after")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    both = join_hot(some, cut(first), "digest", "n")
-    return both.where(~F.struct(*place_of).eqNullSafe(F.struct(*[F.col(f"first.{c}") for c in ("no_rank", "_rank", "_hash", "unit")]))).select("_rank", "_hash", "unit", F.col("first._rank").alias("kept"), _reach("before").alias("before"), _reach("after").alias("after"))
-
-
-def _reach(side: str) -> Column:
-    """How many words more on that side are those of the kept occurrence: the hashes of all shorter reaches agree, too."""
-    out = F.lit(0)
-    agree = F.lit(True)
-    for k, words in enumerate(REACH):
-        own, kept = (F.shiftrightunsigned(c, 16 * k).bitwiseAND(0xFFFF) for c in (side, F.col(f"first.{side}")))
-        agree = agree & (own == kept) & (own != 0)
-        out = F.when(agree, words).otherwise(out)
-    return out
+    map_batches(rows, make, "no_id boolean, id long, hash long, starts array<int>, words array<int>, line array<int>, digests array<struct<a: long, b: long>>").write.parquet(path)
+    return spark.read.parquet(path)
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "removed", long_unit: int = LONG_UNIT, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs``, all rows and columns, its texts without repeated passages, and ``spans_col``: what was cut out.
+def repeated_units(found: DataFrame) -> DataFrame:
+    """Every occurrence of a unit but the kept one, of rows as ``units`` gives them: no_id, id, hash, unit, kept (no_id, id, hash, unit)."""
+    each = found.select(*_ROW, F.posexplode("digests").alias("unit", "d")).where("d is not null").select(*_ROW, "unit", "d.a", "d.b")
+    place = F.struct(*_ROW, "unit")
+    first = cut(each.groupBy("a", "b").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1"))
+    return join_hot(each, first, ["a", "b"], "n").where(place != F.col("kept")).select(*_ROW, "unit", "kept")
 
-    ``spans_col`` is an array of (start, end, kept_id): code points in the original text, end exclusive, and the id of the
-    document that keeps the passage (of its first unit, where several do). It is empty where nothing was cut. Ranks are
-    ids as integers, null last; rows of equal id and equal text count as one row, and all get its result. Null texts stay
-    null. The units of a text that is copied many times are joined by ``join_hot``; a text is shuffled once.
-    """
-    repeats = repeated_units(docs, id_col, text_col, long_unit, least_words).distinct()
-    by_row = repeats.groupBy("_rank", "_hash").agg(F.collect_list(F.struct("unit", "kept", "before", "after")).alias("_units"))
-    by_row = by_row.select(F.col("_rank").alias("_r"), F.col("_hash").alias("_h"), "_units")
-    rows = _keyed(docs, id_col, text_col)
-    rows = rows.join(by_row, rows["_hash"].eqNullSafe(by_row["_h"]) & rows["_rank"].eqNullSafe(by_row["_r"]), "left").drop("_rank", "_hash", "_r", "_h")
-    place, last = docs.columns.index(text_col), len(docs.columns)
-    names = [*docs.columns, spans_col]
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kept_id", pa.int64())]))
+
+def passages(found: DataFrame, least_words: int = LEAST_WORDS, least_line: int = LEAST_LINE) -> DataFrame:
+    """no_id, id, hash and spans (array of start, end, kept_id) of each row that loses a passage. Rows of equal id and text count as one."""
+    repeats = repeated_units(found).distinct().groupBy(*_ROW).agg(F.collect_list(F.struct("unit", "kept")).alias("repeats"))
+    rows = found.select(*_ROW, "starts", "words", "line").join(repeats, list(_ROW))
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kept_id", pa.int64())]))
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts, spans = [], []
-            for t, found in zip(batch.column(place), batch.column(last)):
-                text, found = t.as_py(), found.as_py()
-                cuts = runs(text, {x["unit"]: (x["kept"], x["before"], x["after"]) for x in found}, long_unit, least_words) if found else []
-                spans.append([{"start": a, "end": b, "kept_id": k} for a, b, k in cuts])
-                if cuts:
-                    text = "".join(text[a:b] for a, b in zip([0, *[b for _, b, _ in cuts]], [*[a for a, _, _ in cuts], len(text)]))
-                texts.append(text)
-            columns = [pa.array(texts, pa.string()) if k == place else batch.column(k) for k in range(last)]
-            return pa.record_batch([*columns, pa.array(spans, span)], names=names)
+            out = []
+            for starts, words, line, repeated in zip(*[batch.column(k) for k in range(3, 7)]):
+                kept = {x["unit"]: tuple(x["kept"].values()) for x in repeated.as_py()}
+                goes = gone(words.as_py(), line.as_py(), set(kept), least_words, least_line)
+                out.append([{"start": a, "end": b, "kept_id": k} for a, b, k in spans(starts.as_py(), goes, kept)])
+            return pa.record_batch([*[batch.column(k) for k in range(3)], pa.array(out, kind)], names=[*_ROW, "spans"])
 
         return step
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(rows, make, f"{kinds}, `{spans_col}` array<struct<start: long, end: long, kept_id: long>>")
+    cuts = map_batches(rows, make, "no_id boolean, id long, hash long, spans array<struct<start: long, end: long, kept_id: long>>")
+    return cuts.where(F.size("spans") > 0).dropDuplicates(list(_ROW))
+
+
+@F.arrow_udf(T.StringType())
+def _without(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+    """The texts without the ranges of code points; null for null."""
+    out = []
+    for t, a, b in zip(text, starts, ends):
+        t = t.as_py()
+        if t is not None:
+            t = "".join([t[x:y] for x, y in zip([0, *b.as_py()], [*a.as_py(), len(t)])])
+        out.append(t)
+    return pa.array(out, pa.string())
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "removed", long_unit: int = LONG_UNIT, least_words: int = LEAST_WORDS, least_line: int = LEAST_LINE) -> DataFrame:
+    """``docs``, all rows and columns, its texts without repeated passages, and ``spans_col``: what was cut out.
+
+    ``spans_col`` is an array of (start, end, kept_id): code points in the original text, end exclusive, and the id of the
+    document that keeps the passage; one entry for each kept document. It is empty where nothing was cut, and takes the
+    place of a column of that name. Ranks are ids as integers, null last; rows of equal id and equal text count as one row,
+    and all get its result. Null texts stay null. Other columns may have any name. The units of a text that is copied many
+    times are joined by ``join_hot``; only a text's units go through the shuffles, and then the text once. Only texts that
+    lose something are cut by Python, all others stay in the JVM.
+    """
+    cuts = passages(units(docs, id_col, text_col, long_unit), least_words, least_line)
+    names = dict(zip((*_ROW, "spans"), fresh(docs.columns, *_ROW, "spans")))
+    cuts = cuts.select(*[F.col(k).alias(v) for k, v in names.items()])
+    rows = docs.withColumns({names[k]: c for k, c in _row(id_col, text_col).items()}).join(cuts, [names[k] for k in _ROW], "left")
+    found = col(names["spans"])
+    changed = F.when(found.isNotNull(), col(text_col).cast("string"))
+    new = _without(changed, F.coalesce(found["start"], F.array().cast("array<long>")), F.coalesce(found["end"], F.array().cast("array<long>")))
+    text = F.coalesce(new, col(text_col).cast("string"))
+    none = F.array().cast("array<struct<start: bigint, end: bigint, kept_id: bigint>>")
+    kept = [c for c in docs.columns if c != spans_col]
+    return rows.select(*[text.alias(c) if c == text_col else col(c) for c in kept], F.coalesce(found, none).alias(spans_col))
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document that loses a repeated passage: doc_id, n_removed, removed_chars, removed (start, end, kept_id), kept_ids, text (what stays)."""
+    """All documents: doc_id, n_removed, removed_chars, removed (start, end, kept_id), kept_ids, text (what stays)."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = deduplicated(docs).where(F.size("removed") > 0)
     chars = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    return found.select("doc_id", F.size("removed").alias("n_removed"), chars.alias("removed_chars"), "removed", F.array_distinct("removed.kept_id").alias("kept_ids"), "text")
+    return deduplicated(docs).select("doc_id", F.size("removed").alias("n_removed"), chars.alias("removed_chars"), "removed", F.array_distinct("removed.kept_id").alias("kept_ids"), "text")

@@ -21,8 +21,3 @@ def test_a_line_goes_whatever_its_length(spark):
         assert [x.kept_id for x in got[k].removed] == [k % 4]
     assert all(got[40 + k].text == t for k, t in enumerate(inside))  # part of a line: the minimum holds
 
-
-def test_digests_know_the_minimum():
-    line = sentence(12)
-    assert {k for k, *_ in substrings.digests(line, 20, 20)} == {substrings.WINDOW}
-    assert substrings.LINE in {k for k, *_ in substrings.digests(line, 6, 50)}
