@@ -16,10 +16,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches, table
+from tessera.llm.common import map_batches, small_batches, table
 
 #: Words that a task remembers before the older half is forgotten. Only speed depends on it.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 _ID = 1 << 16  # ids fit in 16 bits; a pair of them is one int
 
 
@@ -153,12 +153,14 @@ def load(path: str) -> WordBPE:
     return WordBPE(path)
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", decoded: str = "text") -> DataFrame:
     """Token ids of every whole text, and the text decoded from them: id_col, n_tokens long, ids array<int>, decoded string.
 
-    Null and empty texts have no tokens and decode to the empty string. Rows with a null or repeated id stay as they are;
-    other columns are not read. ``vocabulary`` is a path that every executor can open.
+    With ``decoded="sha256"`` the decoded text stays in the worker and the last column is decoded_sha256, its digest. Null
+    and empty texts have no tokens and decode to the empty string. Rows with a null or repeated id stay as they are; other
+    columns are not read. ``vocabulary`` is a path that every executor can open.
     """
+    last = "decoded" if decoded == "text" else "decoded_sha256"
 
     def make():
         bpe = load(vocabulary)
@@ -167,12 +169,16 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             ids = [bpe.encode(t.as_py()) for t in batch.column(1)]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
-            return pa.record_batch([batch.column(0), pa.array(n), lists, pa.array([bpe.decode(x) for x in ids], pa.string())], names=[id_col, "n_tokens", "ids", "decoded"])
+            texts = map(bpe.decode, ids)
+            if decoded != "text":
+                texts = (hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts)
+            return pa.record_batch([batch.column(0), pa.array(n), lists, pa.array(list(texts), pa.string())], names=[id_col, "n_tokens", "ids", last])
 
         return step
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(id_col, text_col), make, f"`{id_col}` {kind}, n_tokens long, ids array<int>, decoded string")
+    small_batches(docs.sparkSession)
+    return map_batches(docs.select(id_col, text_col), make, f"`{id_col}` {kind}, n_tokens long, ids array<int>, {last} string")
 
 
 def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,6 +199,7 @@ def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
         return step
 
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
     return map_batches(docs.select(id_col, text_col), make, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

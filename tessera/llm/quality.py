@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import map_batches, table
+from tessera.llm.common import STEP_ROWS, col, map_batches, small_batches, table
 
 #: At most so many labelled rows are fitted on, the least by a hash of their id: a documented bound.
 TRAIN_ROWS = 20_000
@@ -196,22 +197,20 @@ def scored(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str
         return step
 
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
     return map_batches(docs.select(id_col, text_col), make, f"`{id_col}` {kind}, score double")
 
 
 def filtered(docs: DataFrame, model: Trees, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose texts score at least ``threshold``."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    place = docs.columns.index(text_col)
+    """The rows of ``docs``, all columns, whose texts score at least ``threshold``. Only texts go to Python, and only scores come back."""
 
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x = np.array([statistics(t.as_py()) for t in batch.column(place)])
-            return batch.filter(pa.array(model.score(x) >= threshold))
-
-        return step
+    @F.arrow_udf(T.DoubleType())
+    def score(text: pa.Array) -> pa.Array:
+        out = [model.score(np.array([statistics(t.as_py()) for t in text[at : at + STEP_ROWS]])) for at in range(0, len(text), STEP_ROWS)]
+        return pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
 
-    return map_batches(docs, make, kinds)
+    small_batches(docs.sparkSession)
+    return docs.where(score(col(text_col).cast("string")) >= threshold)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
-"""Near duplicates by the exact Jaccard similarity of their shingles.
-
-A limit on differing SimHash bits either loses pairs at the threshold or links texts below it, so links are decided by the
-sets themselves. Two sets with a similarity of at least ``least`` share one of their first elements, under any one order
-of all elements: of a set of n the first n - ceil(least * n) + 1 (prefix filter). The order is that of the shingles'
-hashes with the most common ones last, which bears on the work only. Sets that share a first element are compared: each
-first with the least set of that element, then those that are not in one component yet with one another.
+"""Near duplicates of a given Jaccard similarity: the SimHash index, and what bits alone lose.
+
+No limit on differing SimHash bits gives right results at a similarity of 0.8: a low one loses pairs at the threshold, which
+differ in 4 to 14 bits, and a high one links others and makes the index search everything. So the Gray-order index finds
+the pairs within ``limit`` bits, the sets of shingles decide each of them, and a second search completes the links: two
+sets with a similarity of at least ``least`` share one of their first elements, under any one order of all elements: of a
+set of n the first n - ceil(least * n) + 1 (prefix filter). The order is that of the shingles' hashes with the most common
+ones last, which bears on the work only. Sets that share a first element and are not linked yet are compared: each first
+with the least set of that element, then those that still are not in one component with one another.
 """
 
 from __future__ import annotations
@@ -18,9 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import HOT_KEYS, cut, join_hot, map_batches
+from tessera.llm.common import HOT_KEYS, col, cut, join_hot, map_batches, small_batches
 from tessera.llm.components import components
-from tessera.llm.simhash import first_of_each
+from tessera.llm.simhash import first_of_each, majority, near_prints
 
 #: Sets from which on a first element is moved to the end of the order, if it is among the ``HOT_KEYS`` most common.
 COMMON = 64
@@ -45,27 +47,28 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, least: float, common: list[int]) -> DataFrame:
-    """id_col, text_hash, s (a digest of the set), n (its size) and its first elements of every row."""
+    """id_col, text_hash, s (a digest of the set), n (its size), fp (its SimHash) and its first elements of every row."""
     late = np.array(sorted(common), np.int64).view(np.uint64)
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            s, n, firsts = [], [], []
+            s, n, fp, firsts = [], [], [], []
             for t in batch.column(2):
                 x = shingles(t.as_py(), size)
                 s.append(int.from_bytes(blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True))
                 n.append(len(x))
+                fp.append(majority(x))
                 if len(late):
                     is_late = np.isin(x, late)
                     x = np.concatenate((x[~is_late], x[is_late]))
                 firsts.append(x[: len(x) - ceil(least * len(x) - 1e-9) + 1].view(np.int64))
-            columns = [batch.column(0), batch.column(1), pa.array(s, pa.int64()), pa.array(n, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
-            return pa.record_batch(columns, names=[id_col, "text_hash", "s", "n", "firsts"])
+            columns = [batch.column(0), batch.column(1), pa.array(s, pa.int64()), pa.array(n, pa.int32()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(firsts, pa.list_(pa.int64()))]
+            return pa.record_batch(columns, names=["id", "text_hash", "s", "n", "fp", "firsts"])
 
         return step
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(id_col, F.xxhash64(text_col).alias("text_hash"), text_col), make, f"`{id_col}` {kind}, text_hash long, s long, n int, firsts array<long>")
+    return map_batches(docs.select(col(id_col), F.xxhash64(col(text_col)).alias("text_hash"), col(text_col)), make, f"id {kind}, text_hash long, s long, n int, fp long, firsts array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
@@ -88,16 +91,26 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Da
     return cut(map_batches(both.select("u", "v", "a", "b"), make, "u long, v long"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
-    """One row per document: id_col, text_hash, root (names the component that links of a Jaccard similarity of at least ``least`` make).
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sets are not in one component of ``roots`` (node, root)."""
+    of_u = roots.select(F.col("node").alias("u"), F.col("root").alias("root_u"))
+    of_v = roots.select(F.col("node").alias("v"), F.col("root").alias("root_v"))
+    known = pairs.join(of_u, "u", "left").join(of_v, "v", "left")
+    return known.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, limit: int = 3) -> DataFrame:
+    """One row per document: id, text_hash, root (names the component that links of a Jaccard similarity of at least ``least`` make).
 
     Words are in lower case (A-Z). Null and texts without words make one component. Equal sets count once in the search.
+    ``limit`` is that of the SimHash index and bears on the work only. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     common: list[int] = []
     while True:
         marked = cut(_sets(docs, id_col, text_col, size, least, common))
-        row = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "text_hash")
-        sets = cut(marked.groupBy("s").agg(F.first("n").alias("n"), F.first("firsts").alias("firsts"), F.min(row).alias("row"), F.count("*").alias("copies")))
+        row = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")
+        sets = cut(marked.groupBy("s").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("firsts").alias("firsts"), F.min(row).alias("row"), F.count("*").alias("copies")))
         elements = sets.select("s", "n", F.explode("firsts").alias("k"))
         shared = cut(elements.groupBy("k").agg(F.count("*").alias("c"), F.min("s").alias("u")).where("c > 1"))
         if common:
@@ -106,10 +119,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not common:
             break
     held = cut(join_hot(elements, shared, "k", "c"))
-    rows = held.select("s").distinct().join(sets.select("s", F.struct("row.id", "row.text_hash").alias("_r")), "s")
-    own = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash")).alias("_row"), F.col(text_col).alias("text"))
-    texts = cut(own.join(rows, own["_row"].eqNullSafe(rows["_r"])).select("s", "text").dropDuplicates(["s"]))
-    links = _verified(held.where("s <> u").select("u", F.col("s").alias("v")).distinct(), texts, size, least)
+    # pairs within a few bits: the index finds fingerprints, each stands for the least of its sets
+    prints = cut(sets.groupBy("fp").agg(F.min("s").alias("u"), F.count("*").alias("c")))
+    one = join_hot(sets.select("fp", F.col("s").alias("v")), prints, "fp", "c").where("u <> v").select("u", "v")
+    near = near_prints(prints, limit)
+    two = near.join(prints.select(F.col("fp").alias("u"), F.col("u").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("u").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    near = cut(one.unionByName(two).distinct())
+    needed = held.select("s").union(near.select("u")).union(near.select("v")).distinct()
+    rows = needed.join(sets.select("s", F.struct("row.id", "row.text_hash").alias("r")), "s")
+    own = docs.select(F.struct(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("text_hash")).alias("row"), col(text_col).alias("text"))
+    texts = cut(own.join(rows, own["row"].eqNullSafe(rows["r"])).select("s", "text").dropDuplicates(["s"]))
+    links = _verified(near, texts, size, least)
+    firsts = held.where("s <> u").select("u", F.col("s").alias("v")).distinct()
+    links = links.unionByName(_verified(_apart(firsts, components(links)), texts, size, least))
     roots = components(links)
     of = held.join(roots, held["s"] == roots["node"], "left").select("k", "s", "n", F.coalesce("root", "s").alias("root"))
     mixed = of.groupBy("k").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("k")
@@ -121,9 +143,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.unionByName(_verified(others, texts, size, least))
     roots = components(links)
     named = cut(sets.join(roots, sets["s"] == roots["node"], "left").select("s", "copies", F.coalesce("root", "s").alias("root")))
-    return join_hot(marked.select(id_col, "text_hash", "s"), named, "s", "copies").select(id_col, "text_hash", "root")
-
-
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
-    """One row of each component of ``near_duplicates``, with all columns of ``docs``: the one of the smallest id, as simhash.deduplicated chooses it."""
-    return first_of_each(docs, near_duplicates(docs, id_col, text_col, size, least), id_col, text_col)
+    return join_hot(marked.select("id", "text_hash", "s"), named, "s", "copies").select("id", "text_hash", "root")

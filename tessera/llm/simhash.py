@@ -1,12 +1,13 @@
 """SimHash near-duplicates by a Gray-order hierarchical index.
 
-Fingerprints whose bits differ in few places are found through one tree of bit patterns. Its upper nodes are shared
-masked patterns: the 64 bits are cut into ``limit + 2`` blocks, and two fingerprints within ``limit`` bits agree on at
-least two of these blocks, so each pair of blocks with its value is a node, and nodes are what the cluster deals out.
-Below such a node its fingerprints are sorted by Gray rank, so that neighbours share long patterns; runs of them make
-leaves, and levels of inner nodes hold the bits that all fingerprints below share. A search adds up the differing bits
-on the way down, each node counting only the bits that its parent does not fix, and leaves a whole subtree once the sum
-exceeds the limit.
+Fingerprints whose bits differ in few places are found through trees of bit patterns. The upper nodes are shared masked
+patterns: the 64 bits are cut into ``limit + 2`` blocks, and two fingerprints within ``limit`` bits agree on at least two
+of these blocks, so each pair of blocks with its value is a node, and nodes are what the cluster deals out. Below such a
+node its fingerprints are sorted by Gray rank, so that neighbours share long patterns; runs of them make leaves, and levels
+of inner nodes hold the bits that all fingerprints below share. A search goes down from the upper node of a fingerprint
+and adds up the differing bits, each node counting only the bits that its parent does not fix, and leaves a whole subtree
+once the sum exceeds the limit. All trees of a task are searched side by side, those of two fingerprints like those of
+thousands; a fingerprint that is alone in a node has nothing to find there.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, join_hot, map_batches, table
+from tessera.llm.common import col, cut, fresh, join_hot, map_batches, small_batches, table
 from tessera.llm.components import components
 
-#: Fingerprints below an upper node from which on it is split by further patterns, and in a leaf.
-SPLIT_OVER, LEAF = 1 << 16, 32
+#: Fingerprints below an upper node from which on it is split by further patterns; in a leaf; nodes below an inner node.
+SPLIT_OVER, LEAF, FAN = 1 << 16, 8, 8
+#: Fingerprints that are searched for at a time, and those whose trees are held at a time unless one node has more.
+QUERIES, HELD = 1 << 10, 1 << 15
 _U = np.uint64
 
 
@@ -39,12 +42,17 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n, digest = len(words) - shingle + 1, xxhash.xxh64_intdigest
+    pairs = zip(starts[:n].tolist(), ends[shingle - 1 :].tolist())
+    return majority(np.fromiter((digest(joined[a:b], seed) for a, b in pairs), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The word whose bits are set in over half of the hashes; zero of none."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):  # bits are unpacked for so many shingles at a time
-        pairs = zip(starts[at : min(n, at + (1 << 16))].tolist(), ends[at + shingle - 1 : at + shingle - 1 + (1 << 16)].tolist())
-        hashes = np.array([digest(joined[a:b], seed) for a, b in pairs], dtype="<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    for at in range(0, len(hashes), 1 << 16):  # bits are unpacked for so many at a time
+        part = hashes[at : at + (1 << 16)].astype("<u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -69,61 +77,69 @@ def unite(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 class GrayIndex:
-    """A hierarchical index over distinct 64-bit words, given in any order."""
-
-    def __init__(self, words: np.ndarray, leaf: int = LEAF, fan: int = 8):
-        order = np.argsort(gray_rank(words), kind="stable")
-        self.words, self.order, self.leaf, self.fan = words[order], order, leaf, fan
-        cuts = np.arange(0, len(words), leaf)
-        ones, any_ = np.bitwise_and.reduceat(self.words, cuts), np.bitwise_or.reduceat(self.words, cuts)
-        levels = [(ones, any_)]
-        while len(levels[-1][0]) > fan:
-            cuts = np.arange(0, len(levels[-1][0]), fan)
-            levels.append((np.bitwise_and.reduceat(levels[-1][0], cuts), np.bitwise_or.reduceat(levels[-1][1], cuts)))
-        #: from the top: the bits that all words below share, and their mask without what the parent's mask holds
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        above = None
-        for ones, any_ in reversed(levels):
-            mask = ~(ones ^ any_)
-            own = mask if above is None else mask & ~np.repeat(above, fan)[: len(mask)]
-            self.levels.append((ones, own))
-            above = mask
+    """Trees over distinct 64-bit words, one for each upper node, given in any order.
+
+    ``upper`` says the upper node of each word; without it all words are below one.
+    """
+
+    def __init__(self, words: np.ndarray, upper: np.ndarray | None = None, leaf: int = LEAF, fan: int = FAN):
+        upper = np.zeros(len(words), np.int64) if upper is None else upper
+        self.order = np.lexsort((gray_rank(words), upper))
+        self.words, upper = words[self.order], upper[self.order]
+        #: From the leaves up: the first word or node below each node, and at the end how many there are below all.
+        self.below: list[np.ndarray] = []
+        tree, size, levels = upper, leaf, []
+        ones, any_ = self.words, self.words
+        while True:
+            first = np.concatenate(([True], tree[1:] != tree[:-1]))
+            place = np.arange(len(tree)) - np.maximum.accumulate(np.where(first, np.arange(len(tree)), 0))
+            cuts = np.flatnonzero(place % size == 0)
+            ones, any_, width = np.bitwise_and.reduceat(ones, cuts), np.bitwise_or.reduceat(any_, cuts), len(tree)
+            self.below.append(np.append(cuts, width))
+            levels.append((ones, ~(ones ^ any_)))
+            tree, size = tree[cuts], fan
+            if (tree[1:] != tree[:-1]).all():
+                break
+        #: The tree of each word: its root's place among the roots.
+        self.root = np.repeat(np.arange(len(tree)), np.diff(np.flatnonzero(np.concatenate(([True], upper[1:] != upper[:-1], [True])))))
+        #: From the leaves up: the bits that all words below a node share, and their mask without what the parent's mask holds.
+        self.nodes: list[tuple[np.ndarray, np.ndarray]] = []
+        for k, (ones, mask) in enumerate(levels):
+            if k + 1 < len(levels):
+                mask = mask & ~np.repeat(levels[k + 1][1], np.diff(self.below[k + 1]))
+            self.nodes.append((ones, mask))
+        self.compared = 0  # words that leaves held against a query
+
+    def _children(self, level: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many words or nodes there are below each of the nodes, and all of them."""
+        first, end = self.below[level][node], self.below[level][node + 1]
+        n = end - first
+        return n, np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
 
     def link(self, limit: int) -> np.ndarray:
-        """For each word, in the order given, the place of its group's first word: the groups are chains of words within ``limit`` bits."""
+        """For each word, in the order given, the place of its group's first word: the groups are chains of words within ``limit`` bits below one upper node."""
         n, words = len(self.words), self.words
         group = np.arange(n)
-
-        step = 256
-        for at in range(0, n, step):
-            q = np.arange(at, min(n, at + step))
+        for at in range(0, n, QUERIES):
+            who = np.arange(at, min(n, at + QUERIES))
             # subtrees whose words all are in one group already: a query of that group need not look there
             uniform, low, high = [], group, group
-            for k, size in enumerate([self.leaf] + [self.fan] * (len(self.levels) - 1)):
-                cuts = np.arange(0, len(low), size)
-                low, high = np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
+            for below in self.below:
+                low, high = np.minimum.reduceat(low, below[:-1]), np.maximum.reduceat(high, below[:-1])
                 uniform.append(np.where(low == high, low, -1))
-            uniform.reverse()
-            above = None
-            for depth, (ones, own) in enumerate(self.levels):
-                if above is None:
-                    who, node = np.repeat(q, len(ones)), np.tile(np.arange(len(ones)), len(q))
-                    so_far = np.zeros(len(who), np.int64)
-                else:
-                    who, node, so_far = above
-                    child = node[:, None] * self.fan + np.arange(self.fan)
-                    keep = child < len(ones)
-                    who, so_far = (np.broadcast_to(x[:, None], child.shape)[keep] for x in (who, so_far))
-                    node = child[keep]
+            node, so_far = self.root[who], np.zeros(len(who), np.int64)
+            for level in range(len(self.nodes) - 1, -1, -1):
+                ones, own = self.nodes[level]
                 so_far = so_far + np.bitwise_count((words[who] ^ ones[node]) & own[node])
-                keep = (so_far <= limit) & (uniform[depth][node] != group[who])
-                above = who[keep], node[keep], so_far[keep]
-            who, node, _ = above
-            for part in range(0, len(who), 1 << 14):
-                a = np.repeat(who[part : part + (1 << 14)], self.leaf)
-                b = (node[part : part + (1 << 14), None] * self.leaf + np.arange(self.leaf)).ravel()
-                keep = b < n
-                a, b = a[keep], b[keep]
+                keep = (so_far <= limit) & (uniform[level][node] != group[who])
+                who, node, so_far = who[keep], node[keep], so_far[keep]
+                if level:
+                    many, node = self._children(level, node)
+                    who, so_far = np.repeat(who, many), np.repeat(so_far, many)
+            for part in range(0, len(who), 1 << 16):
+                many, b = self._children(0, node[part : part + (1 << 16)])
+                a = np.repeat(who[part : part + (1 << 16)], many)
+                self.compared += len(a)
                 keep = (np.bitwise_count(words[a] ^ words[b]) <= limit) & (group[a] != group[b])
                 unite(group, a[keep], b[keep])
         first = np.full(n, n)
@@ -175,46 +191,41 @@ def _split(nodes: DataFrame, limit: int) -> DataFrame:
 def _links(nodes: DataFrame, limit: int) -> DataFrame:
     """Links (u, v) of fingerprints below each node: each linked one to the first of its group, so never more links than fingerprints."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_node, kept_fp = np.empty(0, np.int64), np.empty(0, np.int64)
-
-        def links(node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            """All links of whole runs of equal nodes."""
-            cuts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-            size = np.diff(np.append(cuts, len(node)))
-            words, group = fp.view(_U), np.arange(len(fp))
-            # nodes of one leaf: neighbours at each distance within the run, all runs at once
-            small = np.repeat((size > 1) & (size <= LEAF), size)
-            end = np.repeat(cuts + size, size)
-            place = np.flatnonzero(small)
-            for d in range(1, LEAF):
-                place = place[place + d < end[place]]
-                if not len(place):
-                    break
-                near = place[np.bitwise_count(words[place] ^ words[place + d]) <= limit]
-                unite(group, near, near + d)
-            for at, n in zip(cuts[size > LEAF].tolist(), size[size > LEAF].tolist()):
-                group[at : at + n] = at + GrayIndex(words[at : at + n]).link(limit)
-            linked = np.flatnonzero(group != np.arange(len(fp)))
-            a, b = fp[linked], fp[group[linked]]
-            pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-            return pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+    def links(node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        """All links of whole runs of equal nodes."""
+        new = np.concatenate(([True], node[1:] != node[:-1], [True]))
+        some = ~(new[:-1] & new[1:])  # not alone in a node
+        node, fp = node[some], fp[some]
+        group = GrayIndex(fp.view(_U), node).link(limit) if len(fp) else np.empty(0, np.int64)
+        linked = np.flatnonzero(group != np.arange(len(fp)))
+        a, b = fp[linked], fp[group[linked]]
+        pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+        return pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0  # rows from the start of a run on
         for batch in batches:
-            node = np.concatenate((kept_node, batch.column(0).to_numpy(zero_copy_only=False)))
-            fp = np.concatenate((kept_fp, batch.column(1).to_numpy(zero_copy_only=False)))
-            if not len(node):
-                continue
-            last = int(np.flatnonzero(node != node[-1])[-1]) + 1 if node[0] != node[-1] else 0
-            kept_node, kept_fp = node[last:], fp[last:]
-            if last:
-                yield links(node[:last], fp[:last])
-        if len(kept_node):
-            yield links(kept_node, kept_fp)
+            rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)])
+            held.append(rows)
+            n += rows.shape[1]
+            if n >= HELD:
+                rows = np.concatenate(held, axis=1)
+                other = np.flatnonzero(rows[0] != rows[0, -1])
+                last = int(other[-1]) + 1 if len(other) else 0
+                held, n = [rows[:, last:]], rows.shape[1] - last
+                if last:
+                    yield links(rows[0, :last], rows[1, :last])
+        if n:
+            yield links(*np.concatenate(held, axis=1))
 
     return nodes.select("node", "fp").repartition("node").sortWithinPartitions("node", "fp").mapInArrow(run, "u long, v long")
 
 
+def near_prints(prints: DataFrame, limit: int = 3) -> DataFrame:
+    """Links (u, v) between the fingerprints of a table with a column fp (distinct, signed): their chains are those of fingerprints within ``limit`` bits."""
+    return _links(_split(_nodes(prints.select("fp"), limit), limit), limit)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """id_col, fp long (the 64 bits, signed) and text_hash of every row."""
 
@@ -226,7 +237,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return step
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(id_col, F.xxhash64(text_col).alias("text_hash"), text_col), make, f"`{id_col}` {kind}, fp long, text_hash long")
+    small_batches(docs.sparkSession)
+    return map_batches(docs.select(col(id_col), F.xxhash64(col(text_col)).alias("text_hash"), col(text_col)), make, f"`{id_col}` {kind}, fp long, text_hash long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, limit: int = 3) -> DataFrame:
@@ -238,8 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marked = cut(fingerprints(docs, id_col, text_col, shingle))
     prints = cut(marked.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("copies")))
-    links = _links(_split(_nodes(prints.select("fp"), limit), limit), limit)
-    roots = components(links)
+    roots = components(near_prints(prints, limit))
     rooted = prints.join(roots, prints.fp == roots.node, "left").select("fp", "copies", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = cut(rooted.select("fp", "copies", "root").join(named, "root").select("fp", "copies", "component_id", "root"))
@@ -247,19 +258,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def first_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` that come first in their component; ``found`` has id_col, text_hash and root of each row."""
-    first = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "text_hash")).alias("first"))
-    keep = first.select(F.struct("first.id", "first.text_hash").alias("_row"))
-    rows = docs.withColumn("_row", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash")))
-    return rows.join(keep, rows["_row"].eqNullSafe(keep["_row"]), "left_semi").dropDuplicates(["_row"]).drop("_row")
+    """The rows of ``docs`` that come first in their component; ``found`` has id, text_hash and root of each row."""
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("first"))
+    (row,) = fresh(docs.columns, "row")
+    keep = first.select(F.struct("first.id", "first.text_hash").alias(row))
+    rows = docs.withColumn(row, F.struct(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("text_hash")))
+    return rows.join(keep, rows[row].eqNullSafe(keep[row]), "left_semi").dropDuplicates([row]).drop(row)
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, limit: int = 3) -> DataFrame:
-    """One row of each component of ``near_duplicates``, with all columns of ``docs``: the one of the smallest id.
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, limit: int = 3, least: float | None = None) -> DataFrame:
+    """One row of each component, with all columns of ``docs``: the one of the smallest id.
 
-    Null ids come last; of rows of one id the one of the smallest hash of its text stays, of equal rows any one.
+    Components are those of ``near_duplicates``; with ``least``, links need a Jaccard similarity of at least that over the
+    shingles instead, and pairs beyond ``limit`` bits that have it are linked, too (tessera.llm.shingles). Null ids come
+    last; of rows of one id the one of the smallest hash of its text stays, of equal rows any one.
     """
-    return first_of_each(docs, near_duplicates(docs, id_col, text_col, shingle, limit), id_col, text_col)
+    if least is None:
+        found = near_duplicates(docs, id_col, text_col, shingle, limit).select(col(id_col).alias("id"), "text_hash", "root")
+    else:
+        from tessera.llm import shingles  # which builds on this module
+
+        found = shingles.near_duplicates(docs, id_col, text_col, shingle, least, limit)
+    return first_of_each(docs, found, id_col, text_col)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tessera.llm import bpe, quality, registry
 from tests.llm.test_mixing import filled, size
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_shingles import plain as plain_similar
 from tests.llm.test_substrings import plain as plain_substrings
 
 SF = "/root/testdata/sf0.001"
@@ -45,8 +45,7 @@ def test_quality_stage(spark, stages):
 
 def test_near_duplicate_stage(stages):
     before, after = stages[1], stages[2]
-    found = plain_components({r.doc_id: plain_fingerprint(r.text) for r in before})
-    assert sorted(r.doc_id for r in after) == sorted(set(found.values()))
+    assert sorted(r.doc_id for r in after) == plain_similar([(r.doc_id, r.text) for r in before])
     texts = {r.doc_id: r.text for r in before}
     assert all(r.text == texts[r.doc_id] for r in after)
 

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from tessera.llm import shingles
+from tessera.llm import simhash
 
 
 def plain(rows, least=0.8):
@@ -46,5 +46,5 @@ def test_edited_copies_are_found_by_the_stage(spark):
 
 def test_null_ids_and_empty_tables(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (None, "other")], "doc_id long, text string")
-    assert sorted((r.doc_id or -1, r.text) for r in shingles.deduplicated(docs).collect()) == [(-1, "other"), (4, "a b c d e f")]
-    assert shingles.deduplicated(docs.limit(0)).collect() == []
+    assert sorted((r.doc_id or -1, r.text) for r in simhash.deduplicated(docs, shingle=5, least=0.8).collect()) == [(-1, "other"), (4, "a b c d e f")]
+    assert simhash.deduplicated(docs.limit(0), shingle=5, least=0.8).collect() == []

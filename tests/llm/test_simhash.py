@@ -103,3 +103,40 @@ def test_components_of_chains(spark):
     got = {r.node: r.root for r in components(links).collect()}
     assert got == {i: 0 for i in range(1, n + 1)} | {1001: 1000}
     assert components(links.limit(0)).collect() == []
+
+
+def test_trees_of_all_sizes_answer(spark):
+    """One index over nodes of 1 to 3,000 fingerprints finds what all pairs within each node give, and compares fewer."""
+    rng = np.random.default_rng(5)
+    words, upper = [], []
+    for k, n in enumerate([1, 2, 2, 3, 8, 9, 17, 64, 65, 200, 1, 3000]):
+        centre = rng.integers(0, 2**63, max(1, n // 8), dtype=np.uint64)
+        near = rng.choice(centre, n)
+        for _ in range(3):
+            near = near ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))
+        near = np.unique(near)
+        words.append(near)
+        upper.append(np.full(len(near), 7 * k - 20))
+    words, upper = np.concatenate(words), np.concatenate(upper)
+    mixed = rng.permutation(len(words))
+    words, upper = words[mixed], upper[mixed]
+    index = simhash.GrayIndex(words, upper)
+    got = index.link(3)
+    pairs = 0
+    for k in np.unique(upper):
+        at = np.flatnonzero(upper == k)
+        near = np.bitwise_count(words[at][:, None] ^ words[at][None, :]) <= 3
+        group = np.arange(len(at))
+        while not ((least := np.where(near, group[None, :], len(at)).min(axis=1)) == group).all():
+            group = least
+        assert {*got[at].tolist()} <= {*at.tolist()}
+        assert len({*zip(got[at].tolist(), group.tolist())}) == len({*got[at].tolist()}) == len({*group.tolist()})
+        pairs += len(at) ** 2
+    assert len(index.nodes) >= 4 and 0 < index.compared < pairs / 5
+
+
+def test_clashing_names_stay(spark):
+    names = ["doc_id", "text", "_row", "__row", "fp", "text_hash", "root", "node"]
+    rows = [(k, "a b c d e f g h" if k < 3 else "other words", *[f"{n}{k}" for n in names[2:]]) for k in range(4)]
+    got = simhash.deduplicated(spark.createDataFrame(rows, names))
+    assert got.columns == names and sorted(tuple(r) for r in got.collect()) == [rows[0], rows[3]]
