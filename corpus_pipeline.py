@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, mixing, quality, shingles, substrings
-from tessera.llm.common import shared_path, table
+from tessera.llm import bpe, mixing, quality, simhash, substrings
+from tessera.llm.common import fresh, shared_path, table
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -21,12 +21,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group of near duplicates: links of a Jaccard similarity of at least 0.8 over five-word shingles."""
-    return shingles.deduplicated(docs)
+    return simhash.deduplicated(docs, shingle=5, least=0.8)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that a document of a smaller doc_id keeps."""
-    return _counted(substrings.deduplicated(docs, spans_col="_removed").drop("_removed"))
+    (spans,) = fresh(docs.columns, "removed")
+    return _counted(substrings.deduplicated(docs, spans_col=spans).drop(spans))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the digest of the decoded text of every document of the mix."""
-    return bpe.encode(docs, bpe.vocabulary_path()).select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+    return bpe.encode(docs, bpe.vocabulary_path(), decoded="sha256")
 
 
 STAGES = [
