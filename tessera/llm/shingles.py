@@ -7,6 +7,10 @@ sets with a similarity of at least ``least`` share one of their first elements,
 set of n the first n - ceil(least * n) + 1 (prefix filter). The order is that of the shingles' hashes with the most common
 ones last, which bears on the work only. Sets that share a first element and are not linked yet are compared: each first
 with the least set of that element, then those that still are not in one component with one another.
+
+Before its texts are read a pair passes a filter that loses nothing: a bitmap of parities, two to four bits an element.
+Each element flips one bit, so that two bitmaps, the larger folded to the size of the smaller, differ in at most as many
+bits as the sets in elements.
 """
 
 from __future__ import annotations
@@ -19,13 +23,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import HOT_KEYS, col, cut, join_hot, map_batches, small_batches
+from tessera.llm.common import HOT_KEYS, col, cut, join_hot, map_batches, shared_path, small_batches
 from tessera.llm.components import components
 from tessera.llm.simhash import first_of_each, majority, near_prints
 
 #: Sets from which on a first element is moved to the end of the order, if it is among the ``HOT_KEYS`` most common.
 COMMON = 64
+#: Pairs that share one copy of a text when they are compared.
+PAIRS = 256
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
@@ -41,38 +48,59 @@ def shingles(text: str | None, size: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(starts[:n].tolist(), last.tolist())), np.uint64, n))
 
 
+def parities(x: np.ndarray) -> bytes:
+    """A bitmap of a set of hashes: bit i is the parity of the number of elements that leave i modulo the size, a power of two."""
+    size = max(64, 1 << (2 * len(x) - 1).bit_length())
+    return np.packbits(np.bincount((x & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).tobytes()
+
+
+def perhaps(a: bytes, n: int, b: bytes, m: int, least: float) -> bool:
+    """False only if sets of n and m elements with these bitmaps have a similarity below ``least``."""
+    a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(a) > len(b):
+        a, b = b, a
+    apart = np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum(dtype=np.int64)
+    return bool(apart <= (n + m) * (1 - least) / (1 + least) + 1e-9)
+
+
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both >= least * (len(a) + len(b) - both) - 1e-9
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, least: float, common: list[int]) -> DataFrame:
-    """id_col, text_hash, s (a digest of the set), n (its size), fp (its SimHash) and its first elements of every row."""
+    """id_col, text_hash, s (a digest of the set), n (its size), fp (its SimHash), bits (its parities) and its first elements of every row."""
     late = np.array(sorted(common), np.int64).view(np.uint64)
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            s, n, fp, firsts = [], [], [], []
+            s, n, fp, bits, firsts = [], [], [], [], []
             for t in batch.column(2):
                 x = shingles(t.as_py(), size)
                 s.append(int.from_bytes(blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True))
                 n.append(len(x))
                 fp.append(majority(x))
+                bits.append(parities(x))
                 if len(late):
                     is_late = np.isin(x, late)
                     x = np.concatenate((x[~is_late], x[is_late]))
                 firsts.append(x[: len(x) - ceil(least * len(x) - 1e-9) + 1].view(np.int64))
-            columns = [batch.column(0), batch.column(1), pa.array(s, pa.int64()), pa.array(n, pa.int32()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(firsts, pa.list_(pa.int64()))]
-            return pa.record_batch(columns, names=["id", "text_hash", "s", "n", "fp", "firsts"])
+            columns = [batch.column(0), batch.column(1), pa.array(s, pa.int64()), pa.array(n, pa.int32()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(bits, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))]
+            return pa.record_batch(columns, names=["id", "text_hash", "s", "n", "fp", "bits", "firsts"])
 
         return step
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(col(id_col), F.xxhash64(col(text_col)).alias("text_hash"), col(text_col)), make, f"id {kind}, text_hash long, s long, n int, fp long, firsts array<long>")
+    return map_batches(docs.select(col(id_col), F.xxhash64(col(text_col)).alias("text_hash"), col(text_col)), make, f"id {kind}, text_hash long, s long, n int, fp long, bits binary, firsts array<long>")
+
 
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, least: float) -> DataFrame:
+    """The distinct pairs (u, v) of similar sets. Texts are read of pairs only that the parities leave."""
+    spark = docs.sparkSession
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
-    """The pairs (u, v) of similar sets; ``texts`` has a text of each."""
+    @F.arrow_udf(T.BooleanType())
+    def may(n: pa.Array, a: pa.Array, m: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([perhaps(x.as_py(), i, y.as_py(), j, least) for i, x, j, y in zip(n.to_pylist(), a, m.to_pylist(), b)], pa.bool_())
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -86,9 +114,27 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Da
 
         return step
 
-    of_v = pairs.join(texts.select(F.col("s").alias("v"), F.col("text").alias("b")), "v")
-    both = of_v.join(texts.select(F.col("s").alias("u"), F.col("text").alias("a")), "u")
-    return cut(map_batches(both.select("u", "v", "a", "b"), make, "u long, v long"))
+    of_size = F.least("n", "m") >= F.greatest("n", "m") * least - 1e-9
+    both = pairs.join(sets.select(F.col("s").alias("u"), "n", F.col("bits").alias("a")), "u").join(sets.select(F.col("s").alias("v"), F.col("n").alias("m"), F.col("bits").alias("b")), "v")
+    left = _written(both.where(of_size).where(may("n", "a", "m", "b")).select("u", "v").distinct(), "pairs")
+    rows = left.select(F.explode(F.array("u", "v")).alias("s")).distinct().join(sets, "s").select("s", F.coalesce("row.id", F.lit(0).cast(sets.schema["row"].dataType["id"].dataType)).alias("id"), "row.no_id", "row.text_hash")
+    rows = _written(rows, "rows")
+    i = col(id_col)
+    own = docs.select(F.coalesce(i, F.lit(0).cast(docs.schema[id_col].dataType)).alias("id"), i.isNull().alias("no_id"), F.xxhash64(col(text_col)).alias("text_hash"), col(text_col).cast("string").alias("text"))
+    texts = cut(own.join(rows, ["id", "no_id", "text_hash"]).select("s", "text").dropDuplicates(["s"]))
+    # a text that many pairs share is repeated for every PAIRS of them, so that no task meets all
+    parts = left.groupBy("u").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts"))
+    of_u = texts.join(parts, texts["s"] == parts["u"]).select("u", F.col("text").alias("a"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = left.join(parts, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).drop("parts")
+    of_v = dealt.join(texts.select(F.col("s").alias("v"), F.col("text").alias("b")), "v")
+    return cut(map_batches(of_v.join(of_u, ["u", "part"]).select("u", "v", "a", "b"), make, "u long, v long"))
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written to the shared folder and read again: unlike a checkpoint it has a known size, by which Spark decides whether a join can broadcast it."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -106,41 +152,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``limit`` is that of the SimHash index and bears on the work only. Other columns are not read.
     """
     small_batches(docs.sparkSession)
-    common: list[int] = []
-    while True:
-        marked = cut(_sets(docs, id_col, text_col, size, least, common))
-        row = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")
-        sets = cut(marked.groupBy("s").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("firsts").alias("firsts"), F.min(row).alias("row"), F.count("*").alias("copies")))
-        elements = sets.select("s", "n", F.explode("firsts").alias("k"))
-        shared = cut(elements.groupBy("k").agg(F.count("*").alias("c"), F.min("s").alias("u")).where("c > 1"))
-        if common:
-            break
-        common = [r.k for r in shared.where(F.col("c") >= COMMON).orderBy(F.col("c").desc(), "k").limit(HOT_KEYS).select("k").collect()]
-        if not common:
-            break
-    held = cut(join_hot(elements, shared, "k", "c"))
+    firsts = _sets(docs, id_col, text_col, size, least, []).select(F.explode("firsts").alias("k"))
+    most = firsts.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON).orderBy(F.col("c").desc(), "k").limit(HOT_KEYS)
+    marked = cut(_sets(docs, id_col, text_col, size, least, [r.k for r in most.select("k").collect()]))
+    row = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")
+    sets = cut(marked.groupBy("s").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits"), F.min(row).alias("row"), F.count("*").alias("copies")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _verified(pairs, sets, docs, id_col, text_col, size, least)
+
     # pairs within a few bits: the index finds fingerprints, each stands for the least of its sets
     prints = cut(sets.groupBy("fp").agg(F.min("s").alias("u"), F.count("*").alias("c")))
     one = join_hot(sets.select("fp", F.col("s").alias("v")), prints, "fp", "c").where("u <> v").select("u", "v")
     near = near_prints(prints, limit)
     two = near.join(prints.select(F.col("fp").alias("u"), F.col("u").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("u").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    near = cut(one.unionByName(two).distinct())
-    needed = held.select("s").union(near.select("u")).union(near.select("v")).distinct()
-    rows = needed.join(sets.select("s", F.struct("row.id", "row.text_hash").alias("r")), "s")
-    own = docs.select(F.struct(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("text_hash")).alias("row"), col(text_col).alias("text"))
-    texts = cut(own.join(rows, own["row"].eqNullSafe(rows["r"])).select("s", "text").dropDuplicates(["s"]))
-    links = _verified(near, texts, size, least)
-    firsts = held.where("s <> u").select("u", F.col("s").alias("v")).distinct()
-    links = links.unionByName(_verified(_apart(firsts, components(links)), texts, size, least))
+    links = verified(one.unionByName(two))
+    # sets that share a first element: with the least of them, then with each other where still apart
+    elements = marked.select("s", F.explode("firsts").alias("k"))
+    shared = cut(elements.groupBy("k").agg(F.count("*").alias("c"), F.min("s").alias("u"), F.max("s").alias("last")).where("u < last").select("k", "c", "u"))
+    held = cut(join_hot(elements, shared, "k", "c").select("k", "s", "u").distinct())
+    links = links.unionByName(verified(_apart(held.where("s <> u").select("u", F.col("s").alias("v")).distinct(), components(links))))
     roots = components(links)
-    of = held.join(roots, held["s"] == roots["node"], "left").select("k", "s", "n", F.coalesce("root", "s").alias("root"))
+    of = held.join(roots, held["s"] == roots["node"], "left").select("k", "s", F.coalesce("root", "s").alias("root"))
     mixed = of.groupBy("k").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("k")
-    of = cut(of.join(mixed, "k", "left_semi"))
+    of = of.join(mixed, "k", "left_semi").join(sets.select("s", "n"), "s")
+    of = cut(of)
     x, y = of.alias("x"), of.alias("y")
     apart = (F.col("x.s") < F.col("y.s")) & (F.col("x.root") != F.col("y.root"))
     of_size = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * least - 1e-9
-    others = x.join(y, (F.col("x.k") == F.col("y.k")) & apart & of_size).select(F.col("x.s").alias("u"), F.col("y.s").alias("v")).distinct()
-    links = links.unionByName(_verified(others, texts, size, least))
+    links = links.unionByName(verified(x.join(y, (F.col("x.k") == F.col("y.k")) & apart & of_size).select(F.col("x.s").alias("u"), F.col("y.s").alias("v")).distinct()))
     roots = components(links)
     named = cut(sets.join(roots, sets["s"] == roots["node"], "left").select("s", "copies", F.coalesce("root", "s").alias("root")))
     return join_hot(marked.select("id", "text_hash", "s"), named, "s", "copies").select("id", "text_hash", "root")

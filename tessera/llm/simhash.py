@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import col, cut, fresh, join_hot, map_batches, small_batches, table
+from tessera.llm.common import col, cut, fresh, join_hot, map_batches, shared_path, small_batches, table
 from tessera.llm.components import components
 
 #: Fingerprints below an upper node from which on it is split by further patterns; in a leaf; nodes below an inner node.
@@ -259,11 +259,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def first_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` that come first in their component; ``found`` has id, text_hash and root of each row."""
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("first"))
-    (row,) = fresh(docs.columns, "row")
-    keep = first.select(F.struct("first.id", "first.text_hash").alias(row))
-    rows = docs.withColumn(row, F.struct(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("text_hash")))
-    return rows.join(keep, rows[row].eqNullSafe(keep[row]), "left_semi").dropDuplicates([row]).drop(row)
+    each = found.groupBy("root", F.col("id").isNull().alias("no_id"), "id", "text_hash").agg(F.count("*").alias("n"))
+    first = each.groupBy("root").agg(F.min(F.struct("no_id", "id", "text_hash", "n")).alias("first"))
+    no_id, i, text_hash, many = fresh(docs.columns, "no_id", "id", "text_hash", "many")
+    # an id that is null counts as 0 beside the flag, so that the join is on plain equality
+    zero = F.lit(0).cast(docs.schema[id_col].dataType)
+    path = shared_path(docs.sparkSession, "first")
+    first.select(F.col("first.no_id").alias(no_id), F.coalesce("first.id", zero).alias(i), F.col("first.text_hash").alias(text_hash), (F.col("first.n") > 1).alias(many)).write.parquet(path)
+    rows = docs.withColumns({no_id: col(id_col).isNull(), i: F.coalesce(col(id_col), zero), text_hash: F.xxhash64(col(text_col))})
+    # the written table has a known size, by which Spark decides whether to broadcast it; only rows that repeat are shuffled by it
+    kept = rows.join(docs.sparkSession.read.parquet(path), [no_id, i, text_hash])
+    repeated = kept.where(col(many)).dropDuplicates([no_id, i, text_hash])
+    return kept.where(~col(many)).unionByName(repeated).drop(no_id, i, text_hash, many)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, limit: int = 3, least: float | None = None) -> DataFrame:

@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from tessera.llm import simhash
+from tessera.llm import shingles, simhash
 
 
 def plain(rows, least=0.8):
@@ -48,3 +50,17 @@ def test_null_ids_and_empty_tables(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (None, "other")], "doc_id long, text string")
     assert sorted((r.doc_id or -1, r.text) for r in simhash.deduplicated(docs, shingle=5, least=0.8).collect()) == [(-1, "other"), (4, "a b c d e f")]
     assert simhash.deduplicated(docs.limit(0), shingle=5, least=0.8).collect() == []
+
+
+def test_parities_lose_no_similar_pair():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate((a[rng.random(len(a)) < rng.uniform(0.5, 1)], rng.integers(0, 2**63, int(rng.integers(0, n)), dtype=np.uint64))))
+        kept = shingles.perhaps(shingles.parities(a), len(a), shingles.parities(b), len(b), 0.8)
+        assert kept or not shingles.similar(a, b, 0.8)
+    a, b = (np.unique(rng.integers(0, 2**63, 500, dtype=np.uint64)) for _ in range(2))
+    assert not shingles.perhaps(shingles.parities(a), len(a), shingles.parities(b), len(b), 0.8)
+    none = np.empty(0, np.uint64)
+    assert shingles.perhaps(shingles.parities(none), 0, shingles.parities(none), 0, 0.8) and len(shingles.parities(none)) == 8
