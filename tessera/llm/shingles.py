@@ -4,9 +4,10 @@ No limit on differing SimHash bits gives right results at a similarity of 0.8: a
 differ in 4 to 14 bits, and a high one links others and makes the index search everything. So the Gray-order index finds
 the pairs within ``limit`` bits, the sets of shingles decide each of them, and a second search completes the links: two
 sets with a similarity of at least ``least`` share one of their first elements, under any one order of all elements: of a
-set of n the first n - ceil(least * n) + 1 (prefix filter). The order is that of the shingles' hashes with the most common
-ones last, which bears on the work only. Sets that share a first element and are not linked yet are compared: each first
-with the least set of that element, then those that still are not in one component with one another.
+set of n the first n - ceil(least * n) + 1 (prefix filter). The order is that of the shingles' hashes with the common ones
+last, by their count, which bears on the work only. Sets that share a first element and are not linked yet are compared:
+each first with the least set of that element and, of many, with some by chance, then those that still are not in one
+component with one another, if enough elements follow the shared one in both.
 
 Before its texts are read a pair passes a filter that loses nothing: a bitmap of parities, two to four bits an element.
 Each element flips one bit, so that two bitmaps, the larger folded to the size of the smaller, differ in at most as many
@@ -19,18 +20,23 @@ from hashlib import blake2b
 from math import ceil
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import HOT_KEYS, col, cut, join_hot, map_batches, shared_path, small_batches
+from tessera.llm.common import col, cut, join_hot, map_batches, shared_path, small_batches
 from tessera.llm.components import components
 from tessera.llm.simhash import first_of_each, majority, near_prints
 
-#: Sets from which on a first element is moved to the end of the order, if it is among the ``HOT_KEYS`` most common.
-COMMON = 64
+#: Sets from which on a first element is moved to the end of the order, if it is among the ``LATE`` most common.
+COMMON, LATE = 8, 1 << 17
+#: Times that sets of one element are compared with one of them by chance, and sets from which on they are.
+TURNS, MANY = 2, 64
+#: Sets of one element that a task holds against each other at a time.
+BLOCK = 512
 #: Pairs that share one copy of a text when they are compared.
 PAIRS = 256
 
@@ -68,9 +74,11 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both) - 1e-9
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, least: float, common: list[int]) -> DataFrame:
-    """id_col, text_hash, s (a digest of the set), n (its size), fp (its SimHash), bits (its parities) and its first elements of every row."""
-    late = np.array(sorted(common), np.int64).view(np.uint64)
+def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, least: float, common: list[tuple[int, int]]) -> DataFrame:
+    """id_col, text_hash, s (a digest of the set), n (its size), fp (its SimHash), bits (its parities) and its first elements of every row. ``common``: elements that come late, with their counts."""
+    late, count = np.array([k for k, _ in common], np.int64).view(np.uint64), np.array([c for _, c in common], np.int64)
+    order = np.argsort(late)
+    late, count = late[order], count[order]
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -82,8 +90,9 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, least: float,
                 fp.append(majority(x))
                 bits.append(parities(x))
                 if len(late):
-                    is_late = np.isin(x, late)
-                    x = np.concatenate((x[~is_late], x[is_late]))
+                    at = np.minimum(np.searchsorted(late, x), len(late) - 1)
+                    weight = np.where(late[at] == x, count[at], 0)
+                    x = x[np.argsort(weight, kind="stable")]
                 firsts.append(x[: len(x) - ceil(least * len(x) - 1e-9) + 1].view(np.int64))
             columns = [batch.column(0), batch.column(1), pa.array(s, pa.int64()), pa.array(n, pa.int32()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(bits, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))]
             return pa.record_batch(columns, names=["id", "text_hash", "s", "n", "fp", "bits", "firsts"])
@@ -145,6 +154,59 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return known.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
 
 
+def _others(of: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) of sets that share an element, are in different components, and may be similar: where both have enough elements from the shared one on, which the first one that two similar sets share grants.
+
+    Elements of few sets are joined with themselves. Those of many sets are dealt in pairs of blocks, and a task holds the
+    parities of two blocks against each other, so that only what they leave is emitted.
+    """
+    share = least / (1 + least)
+    size = of.groupBy("k").agg(F.count("*").alias("many"))
+    few = of.join(size.where(F.col("many") <= MANY), "k")
+    x, y = few.alias("x"), few.alias("y")
+    apart = (F.col("x.s") < F.col("y.s")) & (F.col("x.root") != F.col("y.root"))
+    enough = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i")) >= (F.col("x.n") + F.col("y.n")) * share - 1e-9
+    found = x.join(y, (F.col("x.k") == F.col("y.k")) & apart & enough).select(F.col("x.s").alias("u"), F.col("y.s").alias("v"))
+    rows = of.join(size.where(F.col("many") > MANY), "k").join(sets.select("s", "bits"), "s").withColumn("blocks", F.ceil(F.col("many") / BLOCK))
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("s"), "blocks")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("k", "s", "n", "i", "root", "bits", F.least("b", "j").alias("p"), F.greatest("b", "j").alias("q"), (F.col("b") > F.col("j")).alias("second"))
+
+    def compared(group: pd.DataFrame) -> pd.DataFrame:
+        first, second = group[~group["second"]], group[group["second"]]
+        if group["p"].iloc[0] == group["q"].iloc[0]:
+            second = first
+        out = [np.empty((0, 2), np.int64)]
+        for m, left in first.groupby(first["bits"].map(len)):
+            for k, right in second.groupby(second["bits"].map(len)):
+                size = min(m, k)
+                a, b = (_folded(side["bits"].tolist(), size) for side in (left, right))
+                s, n, i, root = ((left[c].to_numpy()[:, None], right[c].to_numpy()[None, :]) for c in ("s", "n", "i", "root"))
+                both = n[0] + n[1]
+                keep = (root[0] != root[1]) & (np.minimum(n[0] - i[0], n[1] - i[1]) >= both * share - 1e-9)
+                at, to = np.nonzero(keep)
+                for part in range(0, len(at), 1 << 14):
+                    p, q = at[part : part + (1 << 14)], to[part : part + (1 << 14)]
+                    near = np.bitwise_count(a[p] ^ b[q]).sum(axis=1, dtype=np.int64) <= both[p, q] * (1 - least) / (1 + least) + 1e-9
+                    u, v = s[0][p[near], 0], s[1][0, q[near]]
+                    out.append(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1))
+        return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["u", "v"])
+
+    return found.unionByName(rows.groupBy("k", "p", "q").applyInPandas(compared, "u long, v long")).distinct()
+
+
+def _folded(bits: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps of one size, as rows of 64-bit words, folded to ``size`` bytes."""
+    rows = np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), -1, size // 8)
+    return np.bitwise_xor.reduce(rows, axis=1)
+
+
+def _mixed(held: DataFrame, roots: DataFrame) -> DataFrame:
+    """k, s, n, i and root of the sets below those elements whose sets are not all in one component."""
+    of = held.join(roots, held["s"] == roots["node"], "left").select("k", "s", "n", "i", F.coalesce("root", "s").alias("root"))
+    mixed = of.groupBy("k").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("k")
+    return cut(of.join(mixed, "k", "left_semi"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, limit: int = 3) -> DataFrame:
     """One row per document: id, text_hash, root (names the component that links of a Jaccard similarity of at least ``least`` make).
 
@@ -153,8 +215,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     small_batches(docs.sparkSession)
     firsts = _sets(docs, id_col, text_col, size, least, []).select(F.explode("firsts").alias("k"))
-    most = firsts.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON).orderBy(F.col("c").desc(), "k").limit(HOT_KEYS)
-    marked = cut(_sets(docs, id_col, text_col, size, least, [r.k for r in most.select("k").collect()]))
+    most = firsts.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON).orderBy(F.col("c").desc(), "k").limit(LATE)
+    marked = cut(_sets(docs, id_col, text_col, size, least, [(r.k, r.c) for r in most.collect()]))
     row = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")
     sets = cut(marked.groupBy("s").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits"), F.min(row).alias("row"), F.count("*").alias("copies")))
 
@@ -168,19 +230,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     two = near.join(prints.select(F.col("fp").alias("u"), F.col("u").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("u").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     links = verified(one.unionByName(two))
     # sets that share a first element: with the least of them, then with each other where still apart
-    elements = marked.select("s", F.explode("firsts").alias("k"))
+    elements = marked.select("s", "n", F.posexplode("firsts").alias("i", "k"))
     shared = cut(elements.groupBy("k").agg(F.count("*").alias("c"), F.min("s").alias("u"), F.max("s").alias("last")).where("u < last").select("k", "c", "u"))
-    held = cut(join_hot(elements, shared, "k", "c").select("k", "s", "u").distinct())
+    held = cut(join_hot(elements, shared, "k", "c").select("k", "s", "n", "i", "u").distinct())
     links = links.unionByName(verified(_apart(held.where("s <> u").select("u", F.col("s").alias("v")).distinct(), components(links))))
-    roots = components(links)
-    of = held.join(roots, held["s"] == roots["node"], "left").select("k", "s", F.coalesce("root", "s").alias("root"))
-    mixed = of.groupBy("k").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("k")
-    of = of.join(mixed, "k", "left_semi").join(sets.select("s", "n"), "s")
-    of = cut(of)
-    x, y = of.alias("x"), of.alias("y")
-    apart = (F.col("x.s") < F.col("y.s")) & (F.col("x.root") != F.col("y.root"))
-    of_size = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * least - 1e-9
-    links = links.unionByName(verified(x.join(y, (F.col("x.k") == F.col("y.k")) & apart & of_size).select(F.col("x.s").alias("u"), F.col("y.s").alias("v")).distinct()))
+    of = _mixed(held, components(links))
+    for turn in range(TURNS):
+        # where many sets of an element are apart: with one of them by chance, so that families are united from several sides
+        chance = F.xxhash64("s", F.lit(turn))
+        centre = of.groupBy("k").agg(F.min(F.struct(chance.alias("h"), "s", "root")).alias("c"), F.count("*").alias("many")).where(F.col("many") > MANY)
+        others = of.join(centre, "k").where("root <> c.root").select(F.least("s", "c.s").alias("u"), F.greatest("s", "c.s").alias("v")).distinct()
+        links = links.unionByName(verified(others))
+        of = _mixed(held, components(links))
+    links = links.unionByName(verified(_others(of, sets, least)))
     roots = components(links)
     named = cut(sets.join(roots, sets["s"] == roots["node"], "left").select("s", "copies", F.coalesce("root", "s").alias("root")))
     return join_hot(marked.select("id", "text_hash", "s"), named, "s", "copies").select("id", "text_hash", "root")

@@ -19,18 +19,20 @@ what is kept for others is never cut.
 from __future__ import annotations
 
 from hashlib import blake2b
-from itertools import groupby
+from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import col, cut, fresh, join_hot, map_batches, shared_path, small_batches, table
+from tessera.llm.common import HOT_KEYS, col, cut, fresh, map_batches, shared_path, small_batches, table
 
 #: Words that a run of less than a line holds at least to go, that a line holds at least to go by itself, that a sentence holds at least to be a unit, and that a unit of shorter ones holds at least; words on either side that a cut inside a sentence looks at.
 LEAST_WORDS, LEAST_LINE, LONG_SENTENCE, LONG_UNIT, AROUND = 10, 6, 6, 4, 3
+#: Size of the sketch that finds hot digests: its counts are off by at most 3.5 / TRACKED of all.
+TRACKED = 8192
 #: Words after which a sequence of short units without an end of its own is cut.
 CUT_SHORT = 16
 _SPACE, _OUTER = np.zeros(0x3002, bool), np.zeros(0x3002, bool)
@@ -220,7 +222,7 @@ def _row(id_col: str, text_col: str) -> dict:
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_unit: int = LONG_UNIT) -> DataFrame:
-    """One row per row: no_id, id, hash, starts, words, line (as in ``Units``) and digests (array of two longs a unit, null for what never goes), written to the shared folder."""
+    """One row per row: no_id, id, hash, sizes (code points of each unit), words, line (as in ``Units``) and digests (array of two longs a unit, null for what never goes), written to the shared folder."""
     spark = docs.sparkSession
 
     def make():
@@ -229,7 +231,8 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_
             digests, sizes, known = [], [], []
             for t in batch.column(3):
                 of_text = Units(t.as_py() or "", long_unit)
-                for c, x in zip(columns, (of_text.starts, of_text.words, of_text.line)):
+                starts = of_text.starts
+                for c, x in zip(columns, ([b - a for a, b in zip(starts, starts[1:])], of_text.words, of_text.line)):
                     c.append(x)
                 digests += [d or b"\0" * 16 for d in of_text.digests]
                 known += [d is not None for d in of_text.digests]
@@ -237,38 +240,47 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_
             two = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             pairs = pa.StructArray.from_arrays([pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], names=["a", "b"], mask=pa.array(~np.array(known, bool)))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pairs)
-            return pa.record_batch([batch.column(0), batch.column(1), batch.column(2), *[pa.array(c, pa.list_(pa.int32())) for c in columns], lists], names=[*_ROW, "starts", "words", "line", "digests"])
+            return pa.record_batch([batch.column(0), batch.column(1), batch.column(2), *[pa.array(c, pa.list_(pa.int32())) for c in columns], lists], names=[*_ROW, "sizes", "words", "line", "digests"])
 
         return step
 
     small_batches(spark)
     rows = docs.select(*[c.alias(n) for n, c in _row(id_col, text_col).items()], col(text_col).cast("string").alias("text"))
     path = shared_path(spark, "units")
-    map_batches(rows, make, "no_id boolean, id long, hash long, starts array<int>, words array<int>, line array<int>, digests array<struct<a: long, b: long>>").write.parquet(path)
+    map_batches(rows, make, "no_id boolean, id long, hash long, sizes array<int>, words array<int>, line array<int>, digests array<struct<a: long, b: long>>").write.parquet(path)
     return spark.read.parquet(path)
 
 
 def repeated_units(found: DataFrame) -> DataFrame:
-    """Every occurrence of a unit but the kept one, of rows as ``units`` gives them: no_id, id, hash, unit, kept (no_id, id, hash, unit)."""
+    """Every occurrence of a unit but the kept one, of rows as ``units`` gives them: no_id, id, hash, unit, kept (no_id, id, hash, unit).
+
+    Occurrences are shuffled once, by their digest. A digest that may hold over a thousandth of all is not: of these, at
+    most ``HOT_KEYS`` by a sketch of bounded size that misses none, the first occurrence is aggregated and broadcast.
+    """
     each = found.select(*_ROW, F.posexplode("digests").alias("unit", "d")).where("d is not null").select(*_ROW, "unit", "d.a", "d.b")
     place = F.struct(*_ROW, "unit")
-    first = cut(each.groupBy("a", "b").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1"))
-    return join_hot(each, first, ["a", "b"], "n").where(place != F.col("kept")).select(*_ROW, "unit", "kept")
+    top = each.agg(F.expr(f"approx_top_k(a, {HOT_KEYS}, {TRACKED})").alias("top")).select(F.explode("top").alias("x"))
+    hot = F.broadcast(cut(top.select(F.col("x.item").alias("a"))))  # HOT_KEYS rows at most
+    first = cut(each.join(hot, "a").groupBy("a", "b").agg(F.min(place).alias("kept")))
+    # digests whose first halves are equal but for the hot one's are as rare as equal digests of different words
+    hot_ones = each.join(F.broadcast(first), ["a", "b"])
+    others = each.join(hot, "a", "left_anti").withColumn("kept", F.min(place).over(Window.partitionBy("a", "b")))
+    return hot_ones.select(*_ROW, "unit", "kept").unionByName(others.select(*_ROW, "unit", "kept")).where(place != F.col("kept"))
 
 
 def passages(found: DataFrame, least_words: int = LEAST_WORDS, least_line: int = LEAST_LINE) -> DataFrame:
     """no_id, id, hash and spans (array of start, end, kept_id) of each row that loses a passage. Rows of equal id and text count as one."""
-    repeats = repeated_units(found).distinct().groupBy(*_ROW).agg(F.collect_list(F.struct("unit", "kept")).alias("repeats"))
-    rows = found.select(*_ROW, "starts", "words", "line").join(repeats, list(_ROW))
+    repeats = repeated_units(found).groupBy(*_ROW).agg(F.collect_set(F.struct("unit", "kept")).alias("repeats"))
+    rows = found.select(*_ROW, "sizes", "words", "line").join(repeats, list(_ROW))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kept_id", pa.int64())]))
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
-            for starts, words, line, repeated in zip(*[batch.column(k) for k in range(3, 7)]):
+            for sizes, words, line, repeated in zip(*[batch.column(k) for k in range(3, 7)]):
                 kept = {x["unit"]: tuple(x["kept"].values()) for x in repeated.as_py()}
                 goes = gone(words.as_py(), line.as_py(), set(kept), least_words, least_line)
-                out.append([{"start": a, "end": b, "kept_id": k} for a, b, k in spans(starts.as_py(), goes, kept)])
+                out.append([{"start": a, "end": b, "kept_id": k} for a, b, k in spans([0, *accumulate(sizes.as_py())], goes, kept)])
             return pa.record_batch([*[batch.column(k) for k in range(3)], pa.array(out, kind)], names=[*_ROW, "spans"])
 
         return step
@@ -295,8 +307,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``spans_col`` is an array of (start, end, kept_id): code points in the original text, end exclusive, and the id of the
     document that keeps the passage; one entry for each kept document. It is empty where nothing was cut, and takes the
     place of a column of that name. Ranks are ids as integers, null last; rows of equal id and equal text count as one row,
-    and all get its result. Null texts stay null. Other columns may have any name. The units of a text that is copied many
-    times are joined by ``join_hot``; only a text's units go through the shuffles, and then the text once. Only texts that
+    and all get its result. Null texts stay null. Other columns may have any name. Only a text's
+    units go through the shuffles, and then the text once. Only texts that
     lose something are cut by Python, all others stay in the JVM.
     """
     cuts = passages(units(docs, id_col, text_col, long_unit), least_words, least_line)

@@ -64,3 +64,15 @@ def test_parities_lose_no_similar_pair():
     assert not shingles.perhaps(shingles.parities(a), len(a), shingles.parities(b), len(b), 0.8)
     none = np.empty(0, np.uint64)
     assert shingles.perhaps(shingles.parities(none), 0, shingles.parities(none), 0, 0.8) and len(shingles.parities(none)) == 8
+
+
+def test_large_families_without_a_centre(spark, monkeypatch):
+    """Sets of one family that are mostly unlike each other: blocks give the components of all pairs."""
+    monkeypatch.setattr(shingles, "MANY", 8)
+    monkeypatch.setattr(shingles, "BLOCK", 16)
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join(edited(rng, base, rng.randint(1, 12)))) for k in range(150)]
+    got = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), shingle=5, least=0.8)
+    want = plain(rows)
+    assert sorted(r.doc_id for r in got.collect()) == want and 10 < len(want) < 140
