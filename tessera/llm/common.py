@@ -85,6 +85,28 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+#: Size of the sketch that finds heavy values: its counts are off by at most 3.5 / TRACKED of all.
+TRACKED = 8192
+
+
+def heavy(column: str) -> Column:
+    """Aggregates the ``HOT_KEYS`` most frequent values (item, count) of a column by a sketch of bounded size, which misses none that over a thousandth of the rows have."""
+    return F.expr(f"approx_top_k({column}, {HOT_KEYS}, {TRACKED})")
+
+
+def spread(hashed: Column, rows: DataFrame, column: str) -> Column:
+    """``hashed``, a hash of rows that equal rows share and that ``rows`` has as ``column``, made different for each row of those that repeat so often that one value would gather over a thousandth of all rows.
+
+    Which of the equal rows gets which hash follows from its place in the input; as they are equal, results over the same
+    input agree.
+    """
+    n, top = rows.agg(F.count("*"), heavy(column)).first()
+    often = [x["item"] for x in top or [] if x["count"] > max(1, n // HOT_KEYS)]
+    if not often:
+        return hashed
+    return F.when(hashed.isin(often), F.xxhash64(hashed, F.monotonically_increasing_id())).otherwise(hashed)
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], weight: str, how: str = "inner") -> DataFrame:
     """``left`` joined to ``right`` (one row a key) on ``key``, one column or several, safe for hot keys.
 

@@ -13,17 +13,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table
+from tessera.llm.common import col, cut, spread, table
 
 #: Weights of the sources in the order of their names, repeating; the words shared, of all; how often a word is taken at most.
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2
-BLOCK, SHARD_ROWS, SEED = 16, 20_000, 42
+BLOCK, SHARD_ROWS, SEED = 16, 4096, 42
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
 def words(text_col: str) -> Column:
     """The number of words of a text; 0 for null."""
-    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(_WORD)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(col(text_col), F.lit(_WORD)), F.lit(0)).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -69,61 +69,69 @@ def apportioned(weights: list[float], caps: list[int], house: int) -> list[int]:
     return seats
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, shard_rows: int = SHARD_ROWS, seed: int = SEED, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """``docs``, all rows and columns, and a column ``_mix``: what the mix takes of each.
-
-    ``_mix`` is a struct of size (words), source_size, target (its source's words), taken (words, repeats counted), whole
-    (how often the whole document is taken) and pieces (word ranges [from, to) taken once more). No document is taken
-    over ``most`` times. A null source is a source of its own, the last; null and empty texts have no words and are never
-    taken. Rows of equal id and text stand next to each other in the layout, in any order. An empty table gives an empty
-    one. Each shard is a hashed share of about ``shard_rows`` rows, so that a source of any size is split over all
-    shards; a source's shard is off its target by a block or so. The window and the join share one shuffle.
-    """
-    key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
-    n = docs.count()
-    shards = max(1, -(-n // shard_rows))
-    size, hashed = words(text_col), F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.col(text_col))
-    rows = docs.withColumns({"_mix_size": size, "_mix_key": key, "_mix_order": hashed})
-    rows = rows.withColumn("_mix_shard", F.pmod(F.xxhash64("_mix_order"), F.lit(shards)))
-    parts = cut(rows.groupBy("_mix_key", "_mix_shard").agg(F.sum("_mix_size").alias("held")))
-    sources = parts.groupBy("_mix_key").agg(F.sum("held").alias("source_size")).withColumn("name", F.when(F.col("_mix_key") != "", F.substring("_mix_key", 2, 1 << 30)))
-    goals = targets(sources.select("name", "source_size"), weights, share, most).withColumn("_mix_key", F.coalesce(F.concat(F.lit("="), "name"), F.lit(""))).drop("name")
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, block: int, shard_rows: int, seed: int, weights: tuple[float, ...], share: float, most: int) -> DataFrame:
+    """row (all columns of ``docs``) and mix, as ``mixed`` describes it. The document's columns stay inside ``row``, so that they can have any names."""
+    key = F.coalesce(F.concat(F.lit("="), col(source_col).cast("string")), F.lit(""))
+    same = F.xxhash64(F.lit(seed), col(id_col).cast("long"), col(text_col))
+    rows = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), words(text_col).alias("size"), key.alias("key"), same.alias("same"), col(id_col).alias("id"))
+    shards = max(1, -(-docs.count() // shard_rows))
+    rows = rows.withColumn("order", spread(F.col("same"), rows, "same")).drop("same")
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("order"), F.lit(shards)))
+    parts = cut(rows.groupBy("key", "shard").agg(F.sum("size").alias("held")))
+    sources = parts.groupBy("key").agg(F.sum("held").alias("source_size")).withColumn("name", F.when(F.col("key") != "", F.substring("key", 2, 1 << 30)))
+    goals = targets(sources.select("name", "source_size"), weights, share, most).withColumn("key", F.coalesce(F.concat(F.lit("="), "name"), F.lit(""))).drop("name")
 
     def quotas(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_mix_key", ignore_index=True)
+        group = group.sort_values("key", ignore_index=True)
         wanted = (group["target"] * group["held"] / group["source_size"].where(group["source_size"] > 0, 1)).tolist()
         blocks = (-(-group["held"] // block)).tolist()
         group["quota"] = apportioned(wanted, [most * b for b in blocks], round(sum(wanted) / block))
         return group
 
-    plan = parts.join(goals, "_mix_key").groupBy("_mix_shard").applyInPandas(quotas, "_mix_key string, _mix_shard long, held long, source_size long, target double, quota long")
-    plan = plan.select("_mix_key", "_mix_shard", *[F.col(c).alias(f"_mix_{c}") for c in ("held", "source_size", "target", "quota")], F.ceil(F.col("held") / block).alias("_mix_blocks"))
-    plan = plan.withColumn("_mix_first", F.when(F.col("_mix_blocks") > 0, F.pmod(F.xxhash64(F.lit(seed), "_mix_key", "_mix_shard"), F.col("_mix_blocks"))))
-    layout = Window.partitionBy("_mix_key", "_mix_shard").orderBy("_mix_order", F.col(id_col)).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_mix_at", F.coalesce(F.sum("_mix_size").over(layout), F.lit(0))).join(plan, ["_mix_key", "_mix_shard"])
-    whole = F.when(F.col("_mix_blocks") > 0, F.floor(F.col("_mix_quota") / F.col("_mix_blocks"))).otherwise(0)
-    end = F.col("_mix_first") + F.when(F.col("_mix_blocks") > 0, F.pmod("_mix_quota", "_mix_blocks")).otherwise(0)
+    plan = parts.join(goals, "key").groupBy("shard").applyInPandas(quotas, "key string, shard long, held long, source_size long, target double, quota long")
+    plan = plan.withColumn("blocks", F.ceil(F.col("held") / block))
+    plan = plan.withColumn("first", F.when(F.col("blocks") > 0, F.pmod(F.xxhash64(F.lit(seed), "key", "shard"), F.col("blocks"))))
+    layout = Window.partitionBy("key", "shard").orderBy("order", "id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.sum("size").over(layout), F.lit(0))).join(plan, ["key", "shard"])
+    whole = F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(0)
+    end = F.col("first") + F.when(F.col("blocks") > 0, F.pmod("quota", "blocks")).otherwise(0)
 
     def piece(lo: Column, hi: Column) -> Column:
         """The part of a range of the layout that falls into the document."""
-        return F.struct((F.greatest("_mix_at", lo) - F.col("_mix_at")).alias("from"), (F.least(F.col("_mix_at") + F.col("_mix_size"), hi) - F.col("_mix_at")).alias("to"))
+        return F.struct((F.greatest("at", lo) - F.col("at")).alias("from"), (F.least(F.col("at") + F.col("size"), hi) - F.col("at")).alias("to"))
+
+    ranges = F.array(piece(F.col("first") * block, F.least(end * block, F.col("held"))), piece(F.lit(0).cast("long"), F.greatest(F.lit(0), (end - F.col("blocks")) * block)))
+    pieces = F.filter(F.when(F.col("blocks") > 0, ranges).otherwise(F.slice(ranges, 1, 0)), lambda p: p["from"] < p["to"])
+    rows = rows.withColumns({"whole": whole, "pieces": pieces})
+    taken = F.col("whole") * F.col("size") + F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["to"] - p["from"])
+    return rows.select("row", F.struct("size", "source_size", "target", taken.alias("taken"), "whole", "pieces").alias("mix"))
 
-    ranges = F.array(piece(F.col("_mix_first") * block, F.least(end * block, F.col("_mix_held"))), piece(F.lit(0).cast("long"), F.greatest(F.lit(0), (end - F.col("_mix_blocks")) * block)))
-    pieces = F.filter(F.when(F.col("_mix_blocks") > 0, ranges).otherwise(F.slice(ranges, 1, 0)), lambda p: p["from"] < p["to"])
-    rows = rows.withColumns({"_mix_whole": whole, "_mix_pieces": pieces})
-    taken = F.col("_mix_whole") * F.col("_mix_size") + F.aggregate("_mix_pieces", F.lit(0).cast("long"), lambda n, p: n + p["to"] - p["from"])
-    mix = F.struct(F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), taken.alias("taken"), F.col("_mix_whole").alias("whole"), F.col("_mix_pieces").alias("pieces"))
-    return rows.select(*[rows[f"`{c}`"] for c in docs.columns], mix.alias("_mix"))
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, shard_rows: int = SHARD_ROWS, seed: int = SEED, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, mix_col: str = "_mix") -> DataFrame:
+    """``docs``, all rows and columns, and a column ``mix_col``, in place of one of that name: what the mix takes of each.
+
+    It is a struct of size (words), source_size, target (its source's words), taken (words, repeats counted), whole
+    (how often the whole document is taken) and pieces (word ranges [from, to) taken once more). No document is taken
+    over ``most`` times. A null source is a source of its own, the last; null and empty texts have no words and are never
+    taken. Rows of equal id and text stand next to each other in the layout, in any order, unless they are so many that
+    one shard would gather over a thousandth of all rows; then each has a place of its own. An empty table gives an empty
+    one. Other columns may have any name. Each shard is a hashed share of about ``shard_rows`` rows, so that a source of
+    any size is split over all shards; a source's shard is off its target by a block or so. The window and the join share
+    one shuffle.
+    """
+    rows = _mixed(docs, id_col, text_col, source_col, block, shard_rows, seed, weights, share, most)
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != mix_col], F.col("mix").alias(mix_col))
 
 
-def documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, shard_rows: int = SHARD_ROWS, seed: int = SEED, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The documents of the mix, with the columns of ``docs``: each as often as it is taken whole, and the words of its pieces."""
-    rows = mixed(docs, text_col=text_col, **options)
-    found = F.regexp_extract_all(F.col(text_col), F.lit(f"({_WORD})"), F.lit(1))
-    piece = F.transform("_mix.pieces", lambda p: F.when((p["from"] == 0) & (p["to"] == F.col("_mix.size")), F.col(text_col)).otherwise(F.array_join(F.slice(found, (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")), " ")))
-    copies = F.concat(F.array_repeat(F.col(text_col), F.when(F.col("_mix.size") > 0, F.col("_mix.whole")).otherwise(0).cast("int")), piece)
-    rows = rows.withColumn("_copy", F.explode(copies))
-    return rows.select(*[F.col("_copy").alias(c) if c == text_col else rows[f"`{c}`"] for c in docs.columns])
+    rows = _mixed(docs, id_col, text_col, source_col, block, shard_rows, seed, weights, share, most)
+    text = F.col("row")[text_col]
+    found = F.regexp_extract_all(text, F.lit(f"({_WORD})"), F.lit(1))
+    piece = F.transform("mix.pieces", lambda p: F.when((p["from"] == 0) & (p["to"] == F.col("mix.size")), text).otherwise(F.array_join(F.slice(found, (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")), " ")))
+    copies = F.concat(F.array_repeat(text, F.when(F.col("mix.size") > 0, F.col("mix.whole")).otherwise(0).cast("int")), piece)
+    rows = rows.select("row", F.explode(copies).alias("copy"))
+    return rows.select(*[(F.col("copy") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

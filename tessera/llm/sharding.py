@@ -7,23 +7,30 @@ and SQL expressions. The map has one row a slot, so its size is fixed whatever t
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import col, cut, shared_path, spread, table
 
 SLOTS = 4096
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, size (UTF-8 bytes and 1), text_crc32 of each row. Null texts count as empty."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"))
+    """id, size (UTF-8 bytes and 1), crc and spread (a hash) of each row. Null texts count as empty.
+
+    The texts are read here only. Rows that repeat so often that one slot would gather over a thousandth of all get hashes
+    of their own each.
+    """
+    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(col(id_col).cast("long").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"))
+    rows = cut(rows.withColumn("same", F.xxhash64("id", "crc")))
+    return cut(rows.withColumn("spread", spread(F.col("same"), rows, "same")).drop("same"))
 
 
 def slot_of(slots: int) -> Column:
-    """The virtual slot of a row: a hash of its id and text."""
-    return F.pmod(F.xxhash64("id", "crc"), F.lit(slots)).cast("int")
+    """The virtual slot of a row."""
+    return F.pmod("spread", F.lit(slots)).cast("int")
 
 
 def slot_bytes(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -82,22 +89,37 @@ def load(spark: SparkSession, path: str, version: int | None = None) -> DataFram
     return found.where(F.col("version") == version).select("virtual_slot", "shard", "version")
 
 
-def assigned(docs: DataFrame, shards: int = 16, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", slot_map: DataFrame | None = None) -> DataFrame:
+def stored(rows: DataFrame, path: str, shards: int = 16, slots: int = SLOTS) -> DataFrame:
+    """The current version of the map at ``path``, as it is read from there.
+
+    A store without a map gets a first version, made before any bytes are known, and a second one, edited to the rows'
+    bytes; a store that has one is used as it is.
+    """
+    spark = rows.sparkSession
+    try:
+        return load(spark, path)
+    except AnalysisException:  # nothing is stored there yet
+        save(first_map(spark, shards, slots), path)
+        save(rebalanced(load(spark, path), slot_bytes(rows, slots), shards, slots), path)
+        return load(spark, path)
+
+
+def assigned(docs: DataFrame, shards: int = 16, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", store: str | None = None) -> DataFrame:
     """Every row's shard: id_col, size, text_crc32, virtual_slot, shard, slot (the row's place in its shard, gapless from 0), version.
 
-    Without a stored map, one is made and rebalanced to the rows' bytes. A row's place follows from the rows of its
-    shard's lower slots, known from the slots' counts, and its place in its own slot, so that no task sorts more than one
-    virtual slot. Rows of equal id and text are alike and get places in any order; null ids are hashed like others. An
+    The map is that of ``store``, a folder that all nodes share, or a new one in the shared folder: made, rebalanced to the
+    rows' bytes, stored and read again. A row's place follows from the rows of its shard's lower slots, known from the
+    slots' counts, and its place in its own slot, so that no task sorts more than one virtual slot. Rows of equal id and
+    text get places in any order, and where they are many, slots of their own each; null ids are hashed like others. An
     empty table gives an empty one. One row larger than a shard's share makes its shard larger than the others.
     """
     rows = sized(docs, id_col, text_col)
+    slot_map = stored(rows, store or shared_path(docs.sparkSession, "slot-map"), shards, slots)
     loads = slot_bytes(rows, slots)
-    if slot_map is None:
-        slot_map = rebalanced(first_map(docs.sparkSession, shards, slots), loads, shards, slots)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = slot_map.join(loads, "virtual_slot").select("virtual_slot", "shard", "version", before.alias("before"))
-    here = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("id", "crc", "size"))
-    rows = rows.withColumn("virtual_slot", slot_of(slots)).withColumn("here", here).join(F.broadcast(placed), "virtual_slot")
+    here = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("id", "crc", "size", "spread"))
+    rows = rows.withColumn("virtual_slot", slot_of(slots)).withColumn("here", here).join(F.broadcast(placed), "virtual_slot")  # a row a slot
     return rows.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "virtual_slot", "shard", (F.col("before") + F.col("here") - 1).cast("long").alias("slot"), "version")
 
 

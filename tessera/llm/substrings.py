@@ -27,12 +27,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import HOT_KEYS, col, cut, fresh, map_batches, shared_path, small_batches, table
+from tessera.llm.common import col, cut, fresh, heavy, map_batches, shared_path, small_batches, table
 
 #: Words that a run of less than a line holds at least to go, that a line holds at least to go by itself, that a sentence holds at least to be a unit, and that a unit of shorter ones holds at least; words on either side that a cut inside a sentence looks at.
 LEAST_WORDS, LEAST_LINE, LONG_SENTENCE, LONG_UNIT, AROUND = 10, 6, 6, 4, 3
-#: Size of the sketch that finds hot digests: its counts are off by at most 3.5 / TRACKED of all.
-TRACKED = 8192
 #: Words after which a sequence of short units without an end of its own is cut.
 CUT_SHORT = 16
 _SPACE, _OUTER = np.zeros(0x3002, bool), np.zeros(0x3002, bool)
@@ -259,7 +257,7 @@ def repeated_units(found: DataFrame) -> DataFrame:
     """
     each = found.select(*_ROW, F.posexplode("digests").alias("unit", "d")).where("d is not null").select(*_ROW, "unit", "d.a", "d.b")
     place = F.struct(*_ROW, "unit")
-    top = each.agg(F.expr(f"approx_top_k(a, {HOT_KEYS}, {TRACKED})").alias("top")).select(F.explode("top").alias("x"))
+    top = each.agg(heavy("a").alias("top")).select(F.explode("top").alias("x"))
     hot = F.broadcast(cut(top.select(F.col("x.item").alias("a"))))  # HOT_KEYS rows at most
     first = cut(each.join(hot, "a").groupBy("a", "b").agg(F.min(place).alias("kept")))
     # digests whose first halves are equal but for the hot one's are as rare as equal digests of different words

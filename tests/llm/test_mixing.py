@@ -83,3 +83,20 @@ def test_apportionment_matches_highest_quotients():
 def test_empty_tables_and_texts(spark):
     assert mixing.mixed(spark.createDataFrame([], SCHEMA)).collect() == []
     assert [r._mix["taken"] for r in mixing.mixed(spark.createDataFrame([(1, None, None, "", "")], SCHEMA)).collect()] == [0]
+
+
+def test_rows_that_repeat_are_spread_and_names_may_clash(spark):
+    names = ["doc_id", "text", "source", "_mix_key", "_copy", "row", "size", "order", "shard", "mix"]
+    rows = [(7, "same text of five words", "a", *["k"] * 7)] * 4000 + [(100 + k, " ".join(["w"] * (k % 9 + 1)), "b", *[str(k)] * 7) for k in range(500)]
+    docs = spark.createDataFrame(rows, names).repartition(5)
+    got = mixing.mixed(docs, shard_rows=300).collect()
+    assert len(got) == len(rows) and {r._mix_key for r in got if r.doc_id == 107} == {"7"}
+    taken, sizes = Counter(), Counter()
+    for r in got:
+        taken[r.source] += r._mix["taken"]
+        sizes[r.source] += r._mix["size"]
+    want = filled(sizes)
+    assert all(abs(taken[n] - want[n]) <= 16 * 16 + 0.005 * want[n] for n in want)
+    out = mixing.documents(docs, shard_rows=300)
+    assert out.columns == names and {(r._copy, r.shard) for r in out.where("doc_id = 107").collect()} <= {("7", "7")}
+    assert mixing.mixed(docs, mix_col="mix").columns == names

@@ -54,3 +54,28 @@ def test_growth_moves_slots_only_into_the_new_shard_and_versions_are_kept(spark,
 
 def test_empty_table(spark):
     assert sharding.assigned(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_rows_that_repeat_are_spread(spark):
+    rows = [(7, "same text", "", "")] * 20000 + [(k, f"text {k}", "", "") for k in range(1000)]
+    got = sharding.assigned(spark.createDataFrame(rows, SCHEMA).repartition(6)).collect()
+    loads, slots = {}, {}
+    for r in got:
+        loads[r.shard] = loads.get(r.shard, 0) + r["size"]
+        slots[r.virtual_slot] = slots.get(r.virtual_slot, 0) + 1
+    assert len(got) == 21000 and max(slots.values()) < 40
+    assert max(loads.values()) - min(loads.values()) <= 0.02 * max(loads.values())
+
+
+def test_a_stored_map_is_used_and_edited(spark, tmp_path):
+    store = str(tmp_path / "store")
+    docs = spark.createDataFrame([(k, "x" * (k % 90)) for k in range(3000)], "doc_id long, text string")
+    one = {r.doc_id: (r.virtual_slot, r.shard, r.version) for r in sharding.assigned(docs, store=store).collect()}
+    assert {v for _, _, v in one.values()} == {2}
+    more = docs.unionByName(spark.createDataFrame([(9000 + k, "new") for k in range(500)], "doc_id long, text string"))
+    two = {r.doc_id: (r.virtual_slot, r.shard, r.version) for r in sharding.assigned(more, store=store).collect()}
+    assert all(two[i] == x for i, x in one.items())  # the stored map holds, whatever comes
+    sharding.save(sharding.grown(sharding.load(spark, store), 16), store)
+    three = {r.doc_id: (r.virtual_slot, r.shard, r.version) for r in sharding.assigned(more, store=store).collect()}
+    assert {v for _, _, v in three.values()} == {3} and all(three[i][1] in (two[i][1], 16) for i in three)
+    assert any(s == 16 for _, s, _ in three.values())
