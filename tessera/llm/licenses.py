@@ -1,11 +1,13 @@
 """Licence scans by a positional index of rare words.
 
-Every licence template is a sequence of words. The licence words' document frequencies over the corpus give their IDF, and
-a template is looked up by its rarest word only: each place of that word in a file proposes one place for the template,
-the postings of the template's other words are intersected with it by relative position, and the file's share of the
-template's IDF is the score. A template is found where its share reaches ``least`` and the words of its mandatory key
-phrase all stand in their places. Everything is DataFrame expressions on one row a file; nothing is shuffled but the
-word counts, one row a licence word.
+Every licence template is a sequence of words. The licence words' document frequencies over the corpus give their IDF. Of
+each file the licence words with the highest IDF are looked up: for a template, as many of those that the file holds as
+have more of the template's IDF together than a place that is found can lack, so that at least one of them is in its place
+there. Each place of such a word in a file proposes a place for the template, the postings of the template's other words
+are intersected with it by relative position, and the file's share of the template's IDF is the score. A template is found
+where its share reaches ``least`` and the words of its mandatory key phrase all stand in their places. Everything is
+DataFrame expressions on one row a file; nothing is shuffled but the counts of licence words. The texts are read twice, for
+the frequencies and for the places.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import col, table
 
 #: What separates words once A-Z are lower case: all ASCII but digits and a-z.
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -57,6 +59,20 @@ MORE = (
     Template("cc-by-sa", "cc by sa"),
     Template("public-domain", "released into the public domain", (3, 5)),
     Template("proprietary", "all rights reserved"),
+    Template("cc-by-nc", "cc by nc"),
+    # Notices as the licences' own texts have them, fixed values; the key phrase is what names the licence or the grant.
+    Template("mit-notice", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", (0, 6)),
+    Template("bsd-notice", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", (0, 6)),
+    Template("apache-notice", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", (3, 8)),
+    Template("apache-warranty", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", (0, 9)),
+    Template("gpl-notice", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", (18, 22)),
+    Template("gpl-warranty", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", (5, 11)),
+    Template("mpl-notice", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", (11, 14)),
+    Template("isc-notice", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", (0, 4)),
+    Template("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", (2, 6)),
+    Template("boost-notice", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", (9, 12)),
+    Template("zlib-notice", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", (12, 19)),
+    Template("cc-by-notice", "this work is licensed under a creative commons attribution 4 0 international license", (6, 9)),
 )
 
 
@@ -66,15 +82,10 @@ def words_of(text: Column) -> Column:
 
 
 def document_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> tuple[int, dict[str, int]]:
-    """The number of rows, and of those that hold each word: one row of sums."""
-    held = docs.select(F.array_intersect(words_of(F.col(text_col)), F.array(*map(F.lit, vocabulary))).alias("w"))
-    row = held.agg(F.count("*").alias("n"), *[F.count_if(F.array_contains("w", w)).alias(f"w{k}") for k, w in enumerate(vocabulary)]).first()
-    return row["n"], {w: row[f"w{k}"] for k, w in enumerate(vocabulary)}
-
-
-def _starts(words: str, template: Template, anchor: int) -> Column:
-    """The proposed places (from 0) of a template: where its rarest word stands, less that word's place in it."""
-    return F.filter(F.transform(F.filter(words, lambda x: x["w"] == template.words[anchor]), lambda x: x["i"] - anchor), lambda s: s >= 0)
+    """The number of rows, and of those that hold each word: as many sums as there are words."""
+    held = docs.select(F.explode(F.array_intersect(words_of(col(text_col)), F.array(*map(F.lit, vocabulary)))).alias("w"))
+    found = {r.w: r.n for r in held.groupBy("w").agg(F.count("*").alias("n")).collect()}
+    return docs.count(), {w: found.get(w, 0) for w in vocabulary}
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: tuple[Template, ...] = BASE, more: tuple[Template, ...] = MORE, least: float = 0.8) -> DataFrame:
@@ -82,62 +93,63 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bas
 
     n_base counts every place where a base phrase's words stand consecutively, first_word and last_word are the smallest
     and largest of these places' first words (from 0; null without any). labels holds the base labels and those of the
-    longer templates found; both lists are distinct, sorted and comma-joined, empty without any. score is the greatest
-    share of a template's IDF that stands in place, to six digits, 1 for a whole template only, 0 for none. Null and empty texts have no
-    words. A table without rows, or without licence words, gives every word the same IDF. Other columns are not read.
+    longer templates found, at any place: a share of ``least`` or more (to nine digits) of a template's IDF in place, and
+    its key phrase whole, also where the text's start or end cuts other words off. Both lists are distinct, sorted and
+    comma-joined, empty without any. score is the greatest share of what is found, to six digits, 1 for a whole template
+    only, 0 for none. Null and empty texts have no words. A table without rows, or without licence words, gives every word
+    the same IDF. Other columns are not read.
     """
     templates = [*base, *more]
     vocabulary = sorted({w for t in templates for w in t.words})
     n, df = document_frequencies(docs, vocabulary, text_col)
     idf = {w: math.log((1 + n) / (1 + df[w])) + 1 for w in vocabulary}
-    anchors = [max(range(len(t.words)), key=lambda k, t=t: (idf[t.words[k]], -k)) for t in templates]
-
-    rows = docs.select(F.col(id_col), words_of(F.col(text_col)).alias("words"))
-    # the file's postings of rare words: places of the words by which templates are looked up
-    rare = sorted({t.words[a] for t, a in zip(templates, anchors)})
-    postings = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: x["w"].isin(rare))
-    postings = F.when(F.arrays_overlap("words", F.array(*map(F.lit, rare))), postings).otherwise(F.slice(postings, 1, 0))
-    rows = rows.withColumns({"n_words": F.size("words").cast("long"), "p": postings})
-
-    def stands(t: Template, start: Column, k: int) -> Column:
-        """Whether the template's k-th word is in its place; the words are looked up by position."""
-        return F.coalesce(F.get("words", start + k) == t.words[k], F.lit(False))
-
-    def share(t: Template, start: Column) -> Column:
-        """The part of the template's IDF in place at ``start``, 0 unless the key phrase is."""
-        there = [stands(t, start, k) for k in range(len(t.words))]
+    rows = docs.select(col(id_col).alias(id_col), words_of(col(text_col)).alias("words"))
+    rows = rows.withColumns({"n_words": F.size("words").cast("long"), "have": F.array_intersect("words", F.array(*map(F.lit, vocabulary)))})
+
+    def looked_up(t: Template, share: float) -> Column:
+        """The words by which the template is looked up in the file; none if what the file holds of it cannot reach ``share``."""
         total = sum(idf[w] for w in t.words)
-        whole = F.lit(True)
-        for x in there:
-            whole = whole & x
-        part = sum((F.when(x, idf[w]).otherwise(0.0) for x, w in zip(there[1:], t.words[1:])), F.when(there[0], idf[t.words[0]]).otherwise(0.0))
-        return F.when(whole, 1.0).otherwise(F.least(part / total, F.lit(NEARLY)))
-
-    def key_stands(t: Template, start: Column) -> Column:
-        out = F.lit(True)
-        for k in range(*t.mandatory):
-            out = out & stands(t, start, k)
-        return out
-
-    def proposed(t: Template, anchor: int) -> Column:
-        return F.transform(_starts("p", t, anchor), lambda s: F.struct(s.alias("s"), share(t, s).alias("share"), key_stands(t, s).alias("key")))
-
-    rows = rows.select(id_col, "n_words", *[proposed(t, a).alias(f"t{k}") for k, (t, a) in enumerate(zip(templates, anchors))])
-    whole = lambda k: F.transform(F.filter(f"t{k}", lambda x: x["share"] == 1.0), lambda x: x["s"])
-    places = F.concat(*[whole(k) for k in range(len(base))])
-    of_base = F.array(*[F.when(F.size(whole(k)) > 0, F.lit(t.label)) for k, t in enumerate(base)])
-    of_more = F.array(*[F.when(F.exists(f"t{k}", lambda x: x["key"] & (x["share"] >= least)), F.lit(t.label)) for k, t in enumerate(templates) if k >= len(base)])
-    listed = lambda labels: F.array_join(F.array_sort(F.array_distinct(F.array_compact(labels))), ",")
-    best = F.greatest(*[F.coalesce(F.array_max(F.transform(f"t{k}", lambda x: x["share"])), F.lit(0.0)) for k in range(len(templates))])
-    return rows.withColumn("places", places).select(
+        by_idf = sorted({w: None for w in t.words}, key=lambda w: (-idf[w], w))
+        each = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(idf[w] * t.words.count(w)).alias("x")) for w in by_idf])
+        held = F.filter(each, lambda x: F.array_contains("have", x["w"]))
+        none = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<string>").alias("ws"))
+        # words that may all be out of place hold 1 - share of the IDF at most
+        some = F.aggregate(held, none, lambda s, x: F.when(s["sum"] > (1 - share) * total + 1e-6, s).otherwise(F.struct((s["sum"] + x["x"]).alias("sum"), F.array_append(s["ws"], x["w"]).alias("ws"))))
+        enough = F.aggregate(held, F.lit(0.0), lambda s, x: s + x["x"]) >= share * total - 1e-6
+        fewest = next(k for k in range(len(by_idf) + 1) if sum(sorted((idf[w] * t.words.count(w) for w in by_idf), reverse=True)[:k]) >= share * total - 1e-6)
+        return F.when((F.size("have") >= fewest) & enough, some["ws"]).otherwise(F.array().cast("array<string>"))
+
+    rows = rows.withColumns({f"l{k}": looked_up(t, 1.0 if k < len(base) else least) for k, t in enumerate(templates)})
+    rows = rows.withColumn("rare", F.array_distinct(F.concat(*[F.col(f"l{k}") for k in range(len(templates))])))
+    # the file's postings of its rarest licence words
+    postings = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: F.array_contains("rare", x["w"]))
+    rows = rows.withColumn("p", F.when(F.size("rare") > 0, postings))
+
+    def found(k: int, t: Template) -> Column:
+        """s (first word), share and whole of each place of the template; null without any word looked up."""
+        total, each = sum(idf[w] for w in t.words), [F.struct(F.lit(i).alias("k"), F.lit(w).alias("w"), F.lit(idf[w]).alias("x")) for i, w in enumerate(t.words)]
+        places = F.create_map(*[x for w in dict.fromkeys(t.words) for x in (F.lit(w), F.array(*[F.lit(i) for i, v in enumerate(t.words) if v == w]))])
+        proposed = F.transform(F.filter("p", lambda x: F.array_contains(f"l{k}", x["w"])), lambda x: F.transform(F.element_at(places, x["w"]), lambda i: x["i"] - i))
+        stands = lambda s, x: F.coalesce(F.get("words", s + x["k"]) == x["w"], F.lit(False))
+        key = F.array(*each[slice(*t.mandatory)])
+        starts = F.filter(F.array_distinct(F.flatten(proposed)), lambda s: F.forall(key, lambda x: stands(s, x)))
+        part = lambda s: F.aggregate(F.array(*each), F.lit(0.0), lambda y, x: y + F.when(stands(s, x), x["x"]).otherwise(0.0))
+        shares = F.transform(starts, lambda s: F.struct(s.alias("s"), F.round(part(s) / total, 9).alias("share"), F.forall(F.array(*each), lambda x: stands(s, x)).alias("whole")))
+        return F.when(F.size(f"l{k}") > 0, F.filter(shares, lambda x: x["whole"] if k < len(base) else x["whole"] | (x["share"] >= least)))
+
+    rows = rows.select(id_col, "n_words", *[F.coalesce(found(k, t), F.array().cast("array<struct<s: int, share: double, whole: boolean>>")).alias(f"t{k}") for k, t in enumerate(templates)])
+    labels = [F.when(F.size(f"t{k}") > 0, F.lit(t.label)) for k, t in enumerate(templates)]
+    listed = lambda labels: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))), ",")
+    best = F.array_max(F.transform(F.concat(*[F.col(f"t{k}") for k in range(len(templates))]), lambda x: F.when(x["whole"], 1.0).otherwise(F.least(x["share"], F.lit(NEARLY)))))
+    return rows.withColumn("places", F.concat(*[F.col(f"t{k}.s") for k in range(len(base))])).select(
         id_col,
         "n_words",
         F.size("places").cast("long").alias("n_base"),
         F.array_min("places").cast("long").alias("first_word"),
         F.array_max("places").cast("long").alias("last_word"),
-        listed(of_base).alias("base_labels"),
-        listed(F.concat(of_base, of_more)).alias("labels"),
-        F.round(best, 6).alias("score"),
+        listed(labels[: len(base)]).alias("base_labels"),
+        listed(labels).alias("labels"),
+        F.round(F.coalesce(best, F.lit(0.0)), 6).alias("score"),
     )
 
 
@@ -147,24 +159,21 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql(least: float = 0.8) -> str:
-    """The same scan in DuckDB SQL: templates and their words as tables, postings by unnesting."""
+    """The same in DuckDB SQL without any index: every place that a word of a template proposes, with all that stands there."""
     rows = [(k, t.label, k < len(BASE), "['" + "', '".join(t.words) + "']", *t.mandatory) for k, t in enumerate([*BASE, *MORE])]
     values = ", ".join(f"({k}, '{label}', {base}, {words}, {a}, {b})" for k, label, base, words, a, b in rows)
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return rf"""
 WITH tp(t, label, base, ws, a, b) AS (VALUES {values}),
-tw AS (SELECT t, label, base, a, b, ws, unnest(ws) AS w, unnest(range(len(ws))) AS k FROM tp),
+tw AS (SELECT t, label, base, a, b, len(ws) AS n, unnest(ws) AS w, unnest(range(len(ws))) AS k FROM tp),
 d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, row_number() OVER () AS r, [x for x in regexp_split_to_array({lower}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> ''] AS words FROM documents),
 df AS (SELECT w, count(d.r) AS df FROM (SELECT DISTINCT w FROM tw) LEFT JOIN (SELECT r, unnest(list_distinct(words)) AS w FROM d) d USING (w) GROUP BY 1),
 idf AS (SELECT w, ln((1 + (SELECT count(*) FROM d)) / (1 + df)) + 1 AS idf FROM df),
-ti AS (SELECT tw.*, idf, sum(idf) OVER (PARTITION BY t) AS total, row_number() OVER (PARTITION BY t ORDER BY idf DESC, k) AS r1 FROM tw JOIN idf USING (w)),
-anchor AS (SELECT t, w, k FROM ti WHERE r1 = 1),
+ti AS (SELECT tw.*, idf, sum(idf) OVER (PARTITION BY t) AS total FROM tw JOIN idf USING (w)),
 pos AS (SELECT r, unnest(words) AS w, unnest(range(len(words))) AS i FROM d),
-st AS (SELECT p.r, a.t, p.i - a.k AS s FROM pos p JOIN anchor a USING (w) WHERE p.i >= a.k),
-ck AS (SELECT st.r, st.t, st.s, sum(CASE WHEN d.words[st.s + k + 1] = ti.w THEN idf ELSE 0 END) / any_value(total) AS part, bool_and(coalesce(d.words[st.s + k + 1] = ti.w, false)) AS whole,
-  bool_and(k < a OR k >= b OR coalesce(d.words[st.s + k + 1] = ti.w, false)) AS key, any_value(label) AS label, any_value(base) AS base FROM st JOIN ti USING (t) JOIN d USING (r) GROUP BY 1, 2, 3),
-sc AS (SELECT *, CASE WHEN whole THEN 1.0 ELSE least(part, {NEARLY}) END AS share FROM ck),
-al AS (SELECT r, count(*) FILTER (base AND whole) AS n_base, min(s) FILTER (base AND whole) AS first_word, max(s) FILTER (base AND whole) AS last_word,
-  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND whole) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND whole OR NOT base AND key AND share >= {least}) AS labels, max(share) AS score FROM sc GROUP BY 1)
+st AS (SELECT r, t, i - k AS s, round(sum(idf) / any_value(total), 9) AS share, count(*) = any_value(n) AS whole, count(*) FILTER (k >= a AND k < b) = any_value(b - a) AS key, any_value(label) AS label, any_value(base) AS base FROM pos JOIN ti USING (w) GROUP BY 1, 2, 3),
+sc AS (SELECT *, CASE WHEN whole THEN 1.0 ELSE least(share, {NEARLY}) END AS best FROM st WHERE whole OR NOT base AND key AND share >= {least}),
+al AS (SELECT r, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(best) AS score FROM sc GROUP BY 1)
 SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(round(coalesce(score, 0), 6) AS DOUBLE) AS score FROM d LEFT JOIN al USING (r)
 """
