@@ -6,8 +6,8 @@ the pairs within ``limit`` bits, the sets of shingles decide each of them, and a
 sets with a similarity of at least ``least`` share one of their first elements, under any one order of all elements: of a
 set of n the first n - ceil(least * n) + 1 (prefix filter). The order is that of the shingles' hashes with the common ones
 last, by their count, which bears on the work only. Sets that share a first element and are not linked yet are compared:
-each first with the least set of that element and, of many, with some by chance, then those that still are not in one
-component with one another, if enough elements follow the shared one in both.
+each first with the least set of that element, then those that still are not in one component with one another, if enough
+elements follow the shared one in both.
 
 Before its texts are read a pair passes a filter that loses nothing: a bitmap of parities, two to four bits an element.
 Each element flips one bit, so that two bitmaps, the larger folded to the size of the smaller, differ in at most as many
@@ -33,10 +33,8 @@ from tessera.llm.simhash import first_of_each, majority, near_prints
 
 #: Sets from which on a first element is moved to the end of the order, if it is among the ``LATE`` most common.
 COMMON, LATE = 8, 1 << 17
-#: Times that sets of one element are compared with one of them by chance, and sets from which on they are.
-TURNS, MANY = 2, 64
-#: Sets of one element that a task holds against each other at a time.
-BLOCK = 512
+#: Sets of one element up to which they are joined with each other, and that a task holds against each other at a time beyond.
+MANY, BLOCK = 64, 512
 #: Pairs that share one copy of a text when they are compared.
 PAIRS = 256
 
@@ -146,14 +144,6 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets are not in one component of ``roots`` (node, root)."""
-    of_u = roots.select(F.col("node").alias("u"), F.col("root").alias("root_u"))
-    of_v = roots.select(F.col("node").alias("v"), F.col("root").alias("root_v"))
-    known = pairs.join(of_u, "u", "left").join(of_v, "v", "left")
-    return known.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
-
-
 def _others(of: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (u, v) of sets that share an element, are in different components, and may be similar: where both have enough elements from the shared one on, which the first one that two similar sets share grants.
 
@@ -233,15 +223,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     elements = marked.select("s", "n", F.posexplode("firsts").alias("i", "k"))
     shared = cut(elements.groupBy("k").agg(F.count("*").alias("c"), F.min("s").alias("u"), F.max("s").alias("last")).where("u < last").select("k", "c", "u"))
     held = cut(join_hot(elements, shared, "k", "c").select("k", "s", "n", "i", "u").distinct())
-    links = links.unionByName(verified(_apart(held.where("s <> u").select("u", F.col("s").alias("v")).distinct(), components(links))))
+    firsts = held.where("s <> u").select("u", F.col("s").alias("v")).distinct()
+    links = links.unionByName(verified(firsts.join(links, ["u", "v"], "left_anti")))
     of = _mixed(held, components(links))
-    for turn in range(TURNS):
-        # where many sets of an element are apart: with one of them by chance, so that families are united from several sides
-        chance = F.xxhash64("s", F.lit(turn))
-        centre = of.groupBy("k").agg(F.min(F.struct(chance.alias("h"), "s", "root")).alias("c"), F.count("*").alias("many")).where(F.col("many") > MANY)
-        others = of.join(centre, "k").where("root <> c.root").select(F.least("s", "c.s").alias("u"), F.greatest("s", "c.s").alias("v")).distinct()
-        links = links.unionByName(verified(others))
-        of = _mixed(held, components(links))
     links = links.unionByName(verified(_others(of, sets, least)))
     roots = components(links)
     named = cut(sets.join(roots, sets["s"] == roots["node"], "left").select("s", "copies", F.coalesce("root", "s").alias("root")))
