@@ -6,8 +6,8 @@ the pairs within ``limit`` bits, the sets of shingles decide each of them, and a
 sets with a similarity of at least ``least`` share one of their first elements, under any one order of all elements: of a
 set of n the first n - ceil(least * n) + 1 (prefix filter). The order is that of the shingles' hashes with the common ones
 last, by their count, which bears on the work only. Sets that share a first element and are not linked yet are compared:
-each first with the least set of that element, then those that still are not in one component with one another, if enough
-elements follow the shared one in both.
+each first with the set that has the fewest elements before the shared one, then those that still are not in one component
+with one another, if enough elements follow the shared one in both.
 
 Before its texts are read a pair passes a filter that loses nothing: a bitmap of parities, two to four bits an element.
 Each element flips one bit, so that two bitmaps, the larger folded to the size of the smaller, differ in at most as many
@@ -144,11 +144,12 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _others(of: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def _others(of: DataFrame, held: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (u, v) of sets that share an element, are in different components, and may be similar: where both have enough elements from the shared one on, which the first one that two similar sets share grants.
 
     Elements of few sets are joined with themselves. Those of many sets are dealt in pairs of blocks, and a task holds the
-    parities of two blocks against each other, so that only what they leave is emitted.
+    parities of two blocks against each other, so that only what they leave is emitted, and that below the first element
+    that two sets share only: ``held`` has all of a set that are shared.
     """
     share = least / (1 + least)
     size = of.groupBy("k").agg(F.count("*").alias("many"))
@@ -157,9 +158,11 @@ def _others(of: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     apart = (F.col("x.s") < F.col("y.s")) & (F.col("x.root") != F.col("y.root"))
     enough = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i")) >= (F.col("x.n") + F.col("y.n")) * share - 1e-9
     found = x.join(y, (F.col("x.k") == F.col("y.k")) & apart & enough).select(F.col("x.s").alias("u"), F.col("y.s").alias("v"))
-    rows = of.join(size.where(F.col("many") > MANY), "k").join(sets.select("s", "bits"), "s").withColumn("blocks", F.ceil(F.col("many") / BLOCK))
+    rows = of.join(size.where(F.col("many") > MANY), "k").join(sets.select("s", "bits"), "s")
+    shared = held.join(rows.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.collect_list(F.struct("i", "k")).alias("shared"))
+    rows = rows.join(shared, "s").withColumn("before", F.transform(F.filter("shared", lambda x: x["i"] < F.col("i")), lambda x: x["k"])).withColumn("blocks", F.ceil(F.col("many") / BLOCK))
     rows = rows.withColumn("b", F.pmod(F.xxhash64("s"), "blocks")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("k", "s", "n", "i", "root", "bits", F.least("b", "j").alias("p"), F.greatest("b", "j").alias("q"), (F.col("b") > F.col("j")).alias("second"))
+    rows = rows.select("k", "s", "n", "i", "root", "bits", "before", F.least("b", "j").alias("p"), F.greatest("b", "j").alias("q"), (F.col("b") > F.col("j")).alias("second"))
 
     def compared(group: pd.DataFrame) -> pd.DataFrame:
         first, second = group[~group["second"]], group[group["second"]]
@@ -177,7 +180,10 @@ def _others(of: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 for part in range(0, len(at), 1 << 14):
                     p, q = at[part : part + (1 << 14)], to[part : part + (1 << 14)]
                     near = np.bitwise_count(a[p] ^ b[q]).sum(axis=1, dtype=np.int64) <= both[p, q] * (1 - least) / (1 + least) + 1e-9
-                    u, v = s[0][p[near], 0], s[1][0, q[near]]
+                    p, q = p[near], q[near]
+                    before = [{x: set(side["before"].iloc[x].tolist()) for x in set(of.tolist())} for side, of in ((left, p), (right, q))]
+                    first_shared = np.array([before[0][x].isdisjoint(before[1][y]) for x, y in zip(p.tolist(), q.tolist())], bool)
+                    u, v = s[0][p[first_shared], 0], s[1][0, q[first_shared]]
                     out.append(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1))
         return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["u", "v"])
 
@@ -221,12 +227,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = verified(one.unionByName(two))
     # sets that share a first element: with the least of them, then with each other where still apart
     elements = marked.select("s", "n", F.posexplode("firsts").alias("i", "k"))
-    shared = cut(elements.groupBy("k").agg(F.count("*").alias("c"), F.min("s").alias("u"), F.max("s").alias("last")).where("u < last").select("k", "c", "u"))
-    held = cut(join_hot(elements, shared, "k", "c").select("k", "s", "n", "i", "u").distinct())
-    firsts = held.where("s <> u").select("u", F.col("s").alias("v")).distinct()
+    shared = cut(elements.groupBy("k").agg(F.count("*").alias("c"), F.min("s").alias("first"), F.max("s").alias("last")).where("first < last").select("k", "c"))
+    held = cut(join_hot(elements, shared, "k", "c").select("k", "s", "n", "i").distinct())
+    # the set with the fewest rarer elements before the shared one is most like the others
+    centre = cut(held.groupBy("k").agg(F.min(F.struct("i", "s")).alias("least"), F.count("*").alias("c")).select("k", "c", F.col("least.s").alias("u")))
+    firsts = join_hot(held, centre, "k", "c").where("s <> u").select(F.least("u", "s").alias("u"), F.greatest("u", "s").alias("v")).distinct()
     links = links.unionByName(verified(firsts.join(links, ["u", "v"], "left_anti")))
     of = _mixed(held, components(links))
-    links = links.unionByName(verified(_others(of, sets, least)))
+    links = links.unionByName(verified(_others(of, held, sets, least)))
     roots = components(links)
     named = cut(sets.join(roots, sets["s"] == roots["node"], "left").select("s", "copies", F.coalesce("root", "s").alias("root")))
     return join_hot(marked.select("id", "text_hash", "s"), named, "s", "copies").select("id", "text_hash", "root")
