@@ -62,7 +62,8 @@ def prefix_size(q: list[float], extra: float, most: int = 12) -> int:
 
 
 def decode(scored: DataFrame, extra: float = 0.0, most: int = 12, cap: float = 1e-5) -> DataFrame:
-    """The pairs of each entity's best prefix by expected F0.5. p_match is a calibrated chance; an entity has ``most`` candidates at most."""
+    """The pairs of each entity's best prefix by expected F0.5. p_match is a calibrated chance; an entity has ``most`` candidates at most. Pairs without a score do not count."""
+    scored = scored.where("p_match is not null")
     w = Window.partitionBy("s1_id").orderBy(F.col("p_match").desc(), "cand_id")
     top = scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
     lists = top.groupBy("s1_id").agg(F.array_sort(F.collect_list(F.struct("_r", "cand_id", "p_match"))).alias("l"))

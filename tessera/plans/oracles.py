@@ -107,7 +107,7 @@ oracle("name_freq", N, "SELECT country, core_name AS name, count(*) AS freq FROM
 _sub = "length(short) < length(long) AND (starts_with(long, short) OR list_reduce(list_concat([long], string_split(short, '')), lambda acc, c: CASE WHEN acc IS NULL OR strpos(acc, c) = 0 THEN NULL ELSE substr(acc, strpos(acc, c) + 1) END) IS NOT NULL)"
 _MINED = (
     R
-    + f""", w AS (SELECT entity_id, {Q.words("lower(name || ' ' || address)")}[1:10] AS w FROM records), b AS (SELECT a.w AS x, c.w AS y FROM pairs p JOIN w a ON a.entity_id = p.s1_id JOIN w c ON c.entity_id = p.cand_id),
+    + f""", w AS (SELECT entity_id, {Q.words("lower(name || ' ' || address)")} AS w FROM records), b AS (SELECT a.w AS x, c.w AS y FROM pairs p JOIN w a ON a.entity_id = p.s1_id JOIN w c ON c.entity_id = p.cand_id),
 e AS (SELECT unnest(x) AS short, y AS ls FROM b UNION ALL SELECT unnest(y), x FROM b), f AS (SELECT short, unnest(ls) AS long FROM e WHERE length(short) BETWEEN 2 AND 5), mined AS (SELECT short, long, count(*) AS n FROM f WHERE {_sub} GROUP BY 1, 2)"""
 )
 _accept = lambda t, k, d, by="": f"SELECT {by}short, long FROM (SELECT *, sum(n) OVER (PARTITION BY {by}short) AS total, row_number() OVER (PARTITION BY {by}short ORDER BY n DESC, long) AS r FROM {t}) WHERE r = 1 AND total >= {k} AND n / total >= {d}"
@@ -151,9 +151,9 @@ def _arm(name: str, keys: str, cap: int, table: str = "norm") -> str:
 {name} AS (SELECT DISTINCT q.s1_id, p.cand_id, p.cand_source FROM {name}_q q JOIN {name}_p p USING (country, k) JOIN {name}_s s ON s.country = p.country AND s.cand_source = p.cand_source AND s.k = p.k)"""
 
 
-oracle("key_arm_locality", N + _arm("loc_arm", _LOC, 20), "SELECT * FROM loc_arm")
-oracle("key_arm_house", N + _arm("house_arm", _HOUSE, 20), "SELECT * FROM house_arm")
-oracle("key_arm_acronym", N + _arm("acr_arm", _ACR, 10), "SELECT * FROM acr_arm")
+oracle("key_arm_locality", N + _arm("loc_arm", _LOC, 200), "SELECT * FROM loc_arm")
+oracle("key_arm_house", N + _arm("house_arm", _HOUSE, 200), "SELECT * FROM house_arm")
+oracle("key_arm_acronym", N + _arm("acr_arm", _ACR, 100), "SELECT * FROM acr_arm")
 oracle("capped_key_join", C, "SELECT s1_id, cand_id, cand_source FROM cand")
 
 
@@ -186,7 +186,7 @@ oracle(
 SELECT s1_id, cand_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY round(score, 9) DESC, cand_id) - 1 AS INT) AS rank FROM s QUALIFY rank < 15""",
 )
 oracle(
-    "candidate_union", N + _NAME + _ADDR + _arm("loc_arm", _LOC, 20) + _arm("house_arm", _HOUSE, 20) + _arm("acr_arm", _ACR, 10),
+    "candidate_union", N + _NAME + _ADDR + _arm("loc_arm", _LOC, 200) + _arm("house_arm", _HOUSE, 200) + _arm("acr_arm", _ACR, 100),
     """, u AS (SELECT s1_id, cand_id, cand_source, score AS ns, rank AS nr, NULL AS ads, NULL AS ar, 0 AS kl, 0 AS kh, 0 AS ka FROM name_arm UNION ALL SELECT s1_id, cand_id, cand_source, NULL, NULL, score, rank, 0, 0, 0 FROM addr_arm
 UNION ALL SELECT s1_id, cand_id, cand_source, NULL, NULL, NULL, NULL, 1, 0, 0 FROM loc_arm UNION ALL SELECT s1_id, cand_id, cand_source, NULL, NULL, NULL, NULL, 0, 1, 0 FROM house_arm UNION ALL SELECT s1_id, cand_id, cand_source, NULL, NULL, NULL, NULL, 0, 0, 1 FROM acr_arm),
 m AS (SELECT s1_id, cand_id, cand_source, max(ns) AS ns, min(nr) AS nr, max(ads) AS ads, min(ar) AS ar, max(kl) AS kl, max(kh) AS kh, max(ka) AS ka FROM u GROUP BY 1, 2, 3),

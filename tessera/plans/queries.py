@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +33,7 @@ def norm(spark: SparkSession, sf: str) -> DataFrame:
     return normalised(records(spark, sf))
 
 
-def candidates(spark: SparkSession, sf: str, cap: int = 20) -> DataFrame:
+def candidates(spark: SparkSession, sf: str, cap: int = 200) -> DataFrame:
     """Pairs that share a lower-cased name word held by at most ``cap`` records of a pool."""
     r = records(spark, sf)
     keys = F.array_distinct(X.tokens(F.lower("name")))
@@ -95,10 +94,10 @@ def id_list_output(spark, sf):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new path for a written table: in the shared folder that the session names, else in one of our own."""
+    """A new path for a written table: in the shared folder that the session names, else in the warehouse, which all nodes share, too."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
 
 
@@ -276,7 +275,7 @@ def name_freq(spark, sf):
 
 
 def _mined(spark, sf):
-    r = records(spark, sf).select("entity_id", F.slice(X.tokens(F.lower(F.concat_ws(" ", "name", "address"))), 1, 10).alias("w"))
+    r = records(spark, sf).select("entity_id", X.tokens(F.lower(F.concat_ws(" ", "name", "address"))).alias("w"))
     both = pairs.sided(true_pairs(spark, sf), r)
     return corpus.abbreviation_pairs(both, F.col("s.w"), F.col("c.w"))
 
@@ -345,17 +344,17 @@ def _arm(spark, sf, keys, cap):
 
 @query
 def key_arm_locality(spark, sf):
-    return _arm(spark, sf, blocking.locality_keys(), 20)
+    return _arm(spark, sf, blocking.locality_keys(), 200)
 
 
 @query
 def key_arm_house(spark, sf):
-    return _arm(spark, sf, blocking.house_keys(), 20)
+    return _arm(spark, sf, blocking.house_keys(), 200)
 
 
 @query
 def key_arm_acronym(spark, sf):
-    return _arm(spark, sf, blocking.acronym_keys(), 10)
+    return _arm(spark, sf, blocking.acronym_keys(), 100)
 
 
 @query
@@ -400,9 +399,9 @@ def _union(spark, sf):
     arms = [
         blocking.arm_rows(_tfidf(spark, sf, "core_name", blocking.char_grams, 0.1, 10), "name"),
         blocking.arm_rows(_tfidf(spark, sf, "address_expanded", blocking.word_grams, 0.1, 10), "address"),
-        blocking.arm_rows(blocking.key_arm(q, p, blocking.locality_keys(), 20), "key_locrare_hit"),
-        blocking.arm_rows(blocking.key_arm(q, p, blocking.house_keys(), 20), "key_house_hit"),
-        blocking.arm_rows(blocking.key_arm(q, p, blocking.acronym_keys(), 10), "key_acr_hit"),
+        blocking.arm_rows(blocking.key_arm(q, p, blocking.locality_keys(), 200), "key_locrare_hit"),
+        blocking.arm_rows(blocking.key_arm(q, p, blocking.house_keys(), 200), "key_house_hit"),
+        blocking.arm_rows(blocking.key_arm(q, p, blocking.acronym_keys(), 100), "key_acr_hit"),
     ]
     return blocking.union_and_cap(arms)
 

@@ -114,7 +114,7 @@ CANDIDATES = (
     + f""",
 rw AS (SELECT *, list_distinct({words("lower(name)")}) AS wn, list_distinct({words("lower(address)")}) AS wa FROM records),
 pool_keys AS (SELECT country, 'S' || source AS cand_source, entity_id AS cand_id, unnest(wn) AS k FROM rw WHERE source > 1),
-small AS (SELECT country, cand_source, k FROM pool_keys GROUP BY ALL HAVING count(*) <= 20),
+small AS (SELECT country, cand_source, k FROM pool_keys GROUP BY ALL HAVING count(*) <= 200),
 query_keys AS (SELECT country, entity_id AS s1_id, unnest(wn) AS k FROM rw WHERE source = 1),
 cand AS (SELECT DISTINCT q.s1_id, p.cand_id, p.cand_source FROM query_keys q JOIN pool_keys p USING (country, k) SEMI JOIN small s ON s.country = p.country AND s.cand_source = p.cand_source AND s.k = p.k),
 scored0 AS (SELECT c.*, a.country, a.name AS s_name, b.name AS c_name, a.address AS s_addr, b.address AS c_addr, {jaccard("a.wn", "b.wn", "0.0")} AS jn, {jaccard("a.wa", "b.wa", "0.0")} AS ja

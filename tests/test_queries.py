@@ -46,11 +46,33 @@ def test_flagship(spark):
     assert __spark_entry__.entry(spark).count() == 67
 
 
-def test_approximate_neighbours_reach_most_exact_ones(spark):
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_approximate_neighbours_reach_most_exact_ones(spark, sf):
+    """The registered query against the exact search over one group."""
     from tessera.operators import blocking
-    from tessera.plans.queries import _vectors
+    from tessera.plans.queries import QUERIES, _vectors
 
-    q, p = _vectors(spark, "/root/testdata/sf0.01")
-    exact = {(r.s1_id, r.cand_id) for r in blocking.dense_knn(q.drop("part").selectExpr("*", "0 as part"), p.drop("part").selectExpr("*", "0 as part")).collect()}
-    near = {(r.s1_id, r.cand_id) for r in blocking.dense_ivf(q, p, lists=64, probes=40).collect()}
+    q, p = (side.drop("part").selectExpr("*", "0 as part") for side in _vectors(spark, f"/root/testdata/{sf}"))
+    exact = {(r.s1_id, r.cand_id) for r in blocking.dense_knn(q, p).collect()}
+    near = {(r.s1_id, r.cand_id) for r in QUERIES["dense_knn_ivf"](spark, f"/root/testdata/{sf}").collect()}
     assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_dense_arms_take_any_vectors(spark):
+    from tessera.operators import blocking
+
+    nan, inf = float("nan"), float("inf")
+    q = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, None, 0), (3, [1.0, None], 0), (4, [1.0, nan], 0), (5, [1.0], 0), (6, [], 0)], "id long, vector array<double>, part int")
+    p = spark.createDataFrame([(11, [0.5, 0.5], 0), (12, [2.0, 0.0], 0), (13, None, 0), (14, [inf, 0.0], 0), (15, [3.0], 0), (16, [1.0, 1.0, 1.0], 0)], "id long, vector array<double>, part int")
+    assert sorted((r.s1_id, r.cand_id) for r in blocking.dense_knn(q, p).collect()) == [(1, 11), (1, 12), (5, 15)]
+    assert sorted((r.s1_id, r.cand_id, r["rank"]) for r in blocking.dense_ivf(q, p, probed=1.0).collect()) == [(1, 11, 1), (1, 12, 0)]
+    for none in (p.limit(0), p.where("vector is null")):
+        assert blocking.dense_ivf(q, none).collect() == [] and blocking.dense_knn(q, none).collect() == []
+    assert blocking.dense_ivf(q.limit(0), p).collect() == []
+
+
+def test_the_decoder_passes_over_missing_scores(spark):
+    from tessera.operators import decide
+
+    rows = spark.createDataFrame([("a", "x", 0.9), ("a", "y", None), ("b", "z", None)], "s1_id string, cand_id string, p_match double")
+    assert [(r.s1_id, r.cand_id) for r in decide.decode(rows).collect()] == [("a", "x")]
