@@ -94,14 +94,19 @@ def heavy(column: str) -> Column:
     return F.expr(f"approx_top_k({column}, {HOT_KEYS}, {TRACKED})")
 
 
+def heavy_values(rows: DataFrame, column: str) -> list:
+    """The values of a column that over a thousandth of the rows have, and perhaps some that a little fewer have: ``HOT_KEYS`` at most."""
+    n, top = rows.agg(F.count("*"), heavy(column)).first()
+    return [x["item"] for x in top or [] if x["count"] > max(1, n // HOT_KEYS)]
+
+
 def spread(hashed: Column, rows: DataFrame, column: str) -> Column:
     """``hashed``, a hash of rows that equal rows share and that ``rows`` has as ``column``, made different for each row of those that repeat so often that one value would gather over a thousandth of all rows.
 
     Which of the equal rows gets which hash follows from its place in the input; as they are equal, results over the same
     input agree.
     """
-    n, top = rows.agg(F.count("*"), heavy(column)).first()
-    often = [x["item"] for x in top or [] if x["count"] > max(1, n // HOT_KEYS)]
+    often = heavy_values(rows, column)
     if not often:
         return hashed
     return F.when(hashed.isin(often), F.xxhash64(hashed, F.monotonically_increasing_id())).otherwise(hashed)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import col, cut, fresh, heavy, map_batches, shared_path, small_batches, table
+from tessera.llm.common import col, fresh, heavy_values, map_batches, shared_path, small_batches, table
 
 #: Words that a run of less than a line holds at least to go, that a line holds at least to go by itself, that a sentence holds at least to be a unit, and that a unit of shorter ones holds at least; words on either side that a cut inside a sentence looks at.
 LEAST_WORDS, LEAST_LINE, LONG_SENTENCE, LONG_UNIT, AROUND = 10, 6, 6, 4, 3
@@ -252,18 +252,25 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_
 def repeated_units(found: DataFrame) -> DataFrame:
     """Every occurrence of a unit but the kept one, of rows as ``units`` gives them: no_id, id, hash, unit, kept (no_id, id, hash, unit).
 
-    Occurrences are shuffled once, by their digest. A digest that may hold over a thousandth of all is not: of these, at
-    most ``HOT_KEYS`` by a sketch of bounded size that misses none, the first occurrence is aggregated and broadcast.
+    Occurrences are shuffled once, by their digest. A digest that over a thousandth of all occurrences have is not: of these
+    the first occurrence is aggregated and travels as a literal, at most ``HOT_KEYS`` of them.
     """
     each = found.select(*_ROW, F.posexplode("digests").alias("unit", "d")).where("d is not null").select(*_ROW, "unit", "d.a", "d.b")
     place = F.struct(*_ROW, "unit")
-    top = each.agg(heavy("a").alias("top")).select(F.explode("top").alias("x"))
-    hot = F.broadcast(cut(top.select(F.col("x.item").alias("a"))))  # HOT_KEYS rows at most
-    first = cut(each.join(hot, "a").groupBy("a", "b").agg(F.min(place).alias("kept")))
-    # digests whose first halves are equal but for the hot one's are as rare as equal digests of different words
-    hot_ones = each.join(F.broadcast(first), ["a", "b"])
-    others = each.join(hot, "a", "left_anti").withColumn("kept", F.min(place).over(Window.partitionBy("a", "b")))
-    return hot_ones.select(*_ROW, "unit", "kept").unionByName(others.select(*_ROW, "unit", "kept")).where(place != F.col("kept"))
+    hot = heavy_values(each, "a")
+    first = {(r.a, r.b): tuple(r.kept) for r in each.where(F.col("a").isin(hot)).groupBy("a", "b").agg(F.min(place).alias("kept")).collect()} if hot else {}
+    kind = T.StructType([T.StructField("no_id", T.BooleanType()), T.StructField("id", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("unit", T.IntegerType())])
+
+    @F.arrow_udf(kind)
+    def kept(a: pa.Array, b: pa.Array) -> pa.Array:
+        columns = zip(*[first[x] for x in zip(a.to_pylist(), b.to_pylist())]) if len(a) else ((),) * 4
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.bool_(), pa.int64(), pa.int64(), pa.int32()))], names=["no_id", "id", "hash", "unit"])
+
+    others = each.where(~F.col("a").isin(hot)) if hot else each
+    out = others.withColumn("kept", F.min(place).over(Window.partitionBy("a", "b"))).select(*_ROW, "unit", "kept")
+    if hot:
+        out = out.unionByName(each.where(F.col("a").isin(hot)).select(*_ROW, "unit", kept("a", "b").alias("kept")))
+    return out.where(place != F.col("kept"))
 
 
 def passages(found: DataFrame, least_words: int = LEAST_WORDS, least_line: int = LEAST_LINE) -> DataFrame:
