@@ -258,18 +258,16 @@ def repeated_units(found: DataFrame) -> DataFrame:
     each = found.select(*_ROW, F.posexplode("digests").alias("unit", "d")).where("d is not null").select(*_ROW, "unit", "d.a", "d.b")
     place = F.struct(*_ROW, "unit")
     hot = heavy_values(each, "a")
-    first = {(r.a, r.b): tuple(r.kept) for r in each.where(F.col("a").isin(hot)).groupBy("a", "b").agg(F.min(place).alias("kept")).collect()} if hot else {}
-    kind = T.StructType([T.StructField("no_id", T.BooleanType()), T.StructField("id", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("unit", T.IntegerType())])
-
-    @F.arrow_udf(kind)
-    def kept(a: pa.Array, b: pa.Array) -> pa.Array:
-        columns = zip(*[first[x] for x in zip(a.to_pylist(), b.to_pylist())]) if len(a) else ((),) * 4
-        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.bool_(), pa.int64(), pa.int64(), pa.int32()))], names=["no_id", "id", "hash", "unit"])
-
     others = each.where(~F.col("a").isin(hot)) if hot else each
     out = others.withColumn("kept", F.min(place).over(Window.partitionBy("a", "b"))).select(*_ROW, "unit", "kept")
     if hot:
-        out = out.unionByName(each.where(F.col("a").isin(hot)).select(*_ROW, "unit", kept("a", "b").alias("kept")))
+        hot_ones = each.where(F.col("a").isin(hot))
+        first = hot_ones.groupBy("a", "b").agg(F.min(place).alias("kept")).select("a", "b", "kept.*").collect()
+        at = lambda c: F.element_at(F.array(*[F.lit(r[c]) for r in first]).cast(f"array<{'boolean' if c == 'no_id' else 'int' if c == 'unit' else 'bigint'}>"), F.col("at"))
+        hot_ones = hot_ones.withColumn("at", F.array_position(F.array(*[F.lit(r.a) for r in first]).cast("array<bigint>"), F.col("a")).cast("int"))
+        # the halves beside equal ones are equal, too, but for a chance of 2**-64
+        kept = F.when(at("b") == F.col("b"), F.struct(*[at(c).alias(c) for c in (*_ROW, "unit")])).otherwise(place)
+        out = out.unionByName(hot_ones.select(*_ROW, "unit", kept.alias("kept")))
     return out.where(place != F.col("kept"))
 
 
