@@ -196,11 +196,11 @@ def _folded(bits: list[bytes], size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(rows, axis=1)
 
 
-def _mixed(held: DataFrame, roots: DataFrame) -> DataFrame:
+def _mixed(held: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     """k, s, n, i and root of the sets below those elements whose sets are not all in one component."""
-    of = held.join(roots, held["s"] == roots["node"], "left").select("k", "s", "n", "i", F.coalesce("root", "s").alias("root"))
+    of = held.join(roots, held["s"] == roots["node"], "left").select("k", "s", "i", F.coalesce("root", "s").alias("root"))
     mixed = of.groupBy("k").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("k")
-    return cut(of.join(mixed, "k", "left_semi"))
+    return cut(of.join(mixed, "k", "left_semi").join(sets.select("s", "n"), "s"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, limit: int = 3) -> DataFrame:
@@ -226,14 +226,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     two = near.join(prints.select(F.col("fp").alias("u"), F.col("u").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("u").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     links = verified(one.unionByName(two))
     # sets that share a first element: with the least of them, then with each other where still apart
-    elements = marked.select("s", "n", F.posexplode("firsts").alias("i", "k"))
+    elements = marked.select("s", F.posexplode("firsts").alias("i", "k"))
     shared = cut(elements.groupBy("k").agg(F.count("*").alias("c"), F.min("s").alias("first"), F.max("s").alias("last")).where("first < last").select("k", "c"))
-    held = cut(join_hot(elements, shared, "k", "c").select("k", "s", "n", "i").distinct())
+    held = cut(join_hot(elements, shared, "k", "c").select("k", "s", "i").distinct())
     # the set with the fewest rarer elements before the shared one is most like the others
     centre = cut(held.groupBy("k").agg(F.min(F.struct("i", "s")).alias("least"), F.count("*").alias("c")).select("k", "c", F.col("least.s").alias("u")))
     firsts = join_hot(held, centre, "k", "c").where("s <> u").select(F.least("u", "s").alias("u"), F.greatest("u", "s").alias("v")).distinct()
     links = links.unionByName(verified(firsts.join(links, ["u", "v"], "left_anti")))
-    of = _mixed(held, components(links))
+    of = _mixed(held, components(links), sets)
     links = links.unionByName(verified(_others(of, held, sets, least)))
     roots = components(links)
     named = cut(sets.join(roots, sets["s"] == roots["node"], "left").select("s", "copies", F.coalesce("root", "s").alias("root")))
