@@ -61,15 +61,18 @@ def prefix_size(q: list[float], extra: float, most: int = 12) -> int:
     return best
 
 
-def decode(scored: DataFrame, extra: float = 0.0, most: int = 12, cap: float = 1e-5) -> DataFrame:
-    """The pairs of each entity's best prefix by expected F0.5. p_match is a calibrated chance; an entity has ``most`` candidates at most. Pairs without a score do not count."""
+def decode(scored: DataFrame, extra: float | str = 0.0, most: int = 12, cap: float = 1e-5) -> DataFrame:
+    """The pairs of each entity's best prefix by expected F0.5. p_match is a calibrated chance; an entity has ``most`` candidates at most. Pairs without a score do not count.
+
+    ``extra``: true pairs of an entity that are no candidates, on average; a name is that of a column, one value an entity.
+    """
     scored = scored.where("p_match is not null")
     w = Window.partitionBy("s1_id").orderBy(F.col("p_match").desc(), "cand_id")
     top = scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
-    lists = top.groupBy("s1_id").agg(F.array_sort(F.collect_list(F.struct("_r", "cand_id", "p_match"))).alias("l"))
+    lists = top.groupBy("s1_id").agg(F.array_sort(F.collect_list(F.struct("_r", "cand_id", "p_match"))).alias("l"), F.max(F.col(extra) if isinstance(extra, str) else F.lit(extra)).cast("double").alias("_extra"))
 
     @F.pandas_udf("int")
-    def size(q: pd.Series) -> pd.Series:
-        return q.map(lambda x: prefix_size([min(max(v, cap), 1 - cap) for v in x], extra, most))
+    def size(q: pd.Series, more: pd.Series) -> pd.Series:
+        return pd.Series([prefix_size([min(max(v, cap), 1 - cap) for v in x], e, most) for x, e in zip(q, more)])
 
-    return lists.withColumn("k", size(F.transform("l", lambda x: x["p_match"]))).select("s1_id", F.posexplode("l").alias("i", "x"), "k").where("i < k").select("s1_id", F.col("x.cand_id").alias("cand_id"), F.col("x.p_match").alias("p_match"))
+    return lists.withColumn("k", size(F.transform("l", lambda x: x["p_match"]), F.coalesce("_extra", F.lit(0.0)))).select("s1_id", F.posexplode("l").alias("i", "x"), "k").where("i < k").select("s1_id", F.col("x.cand_id").alias("cand_id"), F.col("x.p_match").alias("p_match"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 BETA2 = 0.25
 COARSE = [round(0.30 + 0.05 * k, 2) for k in range(13)]
+#: Margins of the coarse grid; null is none.
+MARGINS = (None, 0.05, 0.10)
 
 
 def f_beta(predicted: Column, truth: Column) -> Column:
@@ -47,7 +49,7 @@ def grid_scores(truth: DataFrame, scored: DataFrame, thresholds: DataFrame, cap:
     from tessera.operators.decide import one_to_one
 
     real = truth.select("s1_id", F.explode("ids").alias("cand_id")).withColumn("y", F.lit(1))
-    best = one_to_one(scored).join(real, ["s1_id", "cand_id"], "left")
+    best = one_to_one(scored).select("s1_id", "cand_id", "p_match").join(real, ["s1_id", "cand_id"], "left")
     lists = best.groupBy("s1_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("p_match")).alias("m"), "cand_id", F.coalesce("y", F.lit(0)).alias("y")))), 1, cap).alias("l"))
     rows = truth.select("s1_id", F.size("ids").alias("t")).join(lists, "s1_id", "left").crossJoin(F.broadcast(thresholds))
     kept = F.filter("l", lambda x: -x["m"] >= F.col("pair"))
@@ -60,6 +62,15 @@ def grid_scores(truth: DataFrame, scored: DataFrame, thresholds: DataFrame, cap:
     return rows.withColumn("f", f).groupBy("g", "pair", "singleton").agg(F.avg("f").alias("f"))
 
 
+def with_margins(scores: DataFrame, margins: tuple[float | None, ...] = MARGINS) -> DataFrame:
+    """``grid_scores`` with the margin as a third axis, numbered in order.
+
+    What is kept one to one is its candidate's best, so that no margin drops any of it and F is the same for all.
+    """
+    axis = F.posexplode(F.array(*[F.lit(m).cast("double") for m in margins])).alias("_m", "margin")
+    return scores.select("*", axis).withColumn("g", (F.col("g") * len(margins) + F.col("_m")).cast("int")).drop("_m")
+
+
 def tune(truth: DataFrame, scored: DataFrame) -> tuple[float, float, float]:
     """pair, singleton and F of the best grid row, coarse and then fine around it; of equals the first in order."""
     spark = truth.sparkSession
@@ -77,6 +88,15 @@ def unseen_country(tuned: tuple[float, float], left_out: list[tuple[float, float
     return (pair, single) if abs(pair - tuned[0]) > shift else tuned
 
 
+def prefilter_recall(entities: DataFrame, pairs: DataFrame, blocked: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row: the true pairs of ``entities``, the shares of them among the blocked and the kept candidates, and the difference. Shares of no pairs are 0."""
+    flag = lambda df, c: df.select("s1_id", "cand_id").distinct().withColumn(c, F.lit(1))
+    of = pairs.join(entities.select("s1_id"), "s1_id", "left_semi").select("s1_id", "cand_id").distinct()
+    marked = of.join(flag(blocked, "_b"), ["s1_id", "cand_id"], "left").join(flag(kept, "_k"), ["s1_id", "cand_id"], "left")
+    share = lambda c: F.count(c) / F.greatest(F.count("*"), F.lit(1))
+    return marked.agg(F.count("*").alias("true_pairs"), share("_b").alias("blocking_recall"), share("_k").alias("prefilter_recall"), (share("_b") - share("_k")).alias("loss"))
+
+
 def missed_rate(entities: DataFrame, pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     """True pairs that were never candidates, by entity, in each country: the Poisson mean of the decoder."""
     missed = pairs.join(candidates.select("s1_id", "cand_id").distinct(), ["s1_id", "cand_id"], "left_anti").groupBy("s1_id").agg(F.count("*").alias("m"))

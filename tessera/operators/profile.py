@@ -11,7 +11,7 @@ from tessera.functions import text as X
 def match_cardinality(entities: DataFrame, pairs: DataFrame) -> DataFrame:
     """Distribution of the number of matches of an entity (s1_id): one row a number, with the overall figures beside."""
     counts = entities.join(pairs.groupBy("s1_id").count(), "s1_id", "left").select(F.coalesce("count", F.lit(0)).alias("n"))
-    overall = counts.agg(F.avg("n").alias("mean"), F.stddev_samp("n").alias("std"), F.expr("percentile(n, 0.5)").alias("median"), F.max("n").alias("most"), F.avg((F.col("n") == 0).cast("double")).alias("singletons"))
+    overall = counts.agg(F.avg("n").alias("mean"), F.stddev_samp("n").alias("std"), F.min("n").alias("least"), *[F.expr(f"percentile(n, {q})").alias(c) for c, q in (("p25", 0.25), ("median", 0.5), ("p75", 0.75))], F.max("n").alias("most"), F.avg((F.col("n") == 0).cast("double")).alias("singletons"))
     return counts.groupBy("n").agg(F.count("*").alias("entities")).crossJoin(F.broadcast(overall))  # one row
 
 
@@ -41,6 +41,18 @@ def chain_names(names: DataFrame, quantile: float = 0.999) -> DataFrame:
     return counts.crossJoin(F.broadcast(bar)).where("n >= bar").select("name", "n")
 
 
+def common_names(names: DataFrame, n: int = 25) -> DataFrame:
+    """The n most frequent names of each source (columns name, source); of equals the smaller name."""
+    counts = names.where("name is not null").groupBy("source", "name").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("source").orderBy(F.col("n").desc(), "name")
+    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def partition_values(records: DataFrame) -> DataFrame:
+    """The distinct countries of each source, null and blank ones as they are, with their rows."""
+    return records.groupBy("source", "country").agg(F.count("*").alias("n"))
+
+
 def missing_partition(records: DataFrame) -> DataFrame:
     """Share of rows without a country by source, and the number of countries."""
     blank = F.col("country").isNull() | (F.trim("country") == "")

@@ -25,8 +25,8 @@ oracle("id_list_output", D, "SELECT e.s1_id AS source1_entity_id, coalesce(strin
 # profiling
 oracle(
     "match_cardinality", R,
-    """, c AS (SELECT s1_id, len(ids) AS n FROM truth), o AS (SELECT avg(n) AS mean, stddev_samp(n) AS std, quantile_cont(n, 0.5) AS median, max(n) AS most, avg(CASE WHEN n = 0 THEN 1.0 ELSE 0.0 END) AS singletons FROM c)
-SELECT n, count(*) AS entities, any_value(mean) AS mean, any_value(std) AS std, any_value(median) AS median, any_value(most) AS most, any_value(singletons) AS singletons FROM c, o GROUP BY n""",
+    """, c AS (SELECT s1_id, len(ids) AS n FROM truth), o AS (SELECT avg(n) AS mean, stddev_samp(n) AS std, min(n) AS least, quantile_cont(n, 0.25) AS p25, quantile_cont(n, 0.5) AS median, quantile_cont(n, 0.75) AS p75, max(n) AS most, avg(CASE WHEN n = 0 THEN 1.0 ELSE 0.0 END) AS singletons FROM c)
+SELECT n, count(*) AS entities, any_value(mean) AS mean, any_value(std) AS std, any_value(least) AS least, any_value(p25) AS p25, any_value(median) AS median, any_value(p75) AS p75, any_value(most) AS most, any_value(singletons) AS singletons FROM c, o GROUP BY n""",
 )
 oracle("exclusivity", R, ", k AS (SELECT cand_id, count(DISTINCT s1_id) AS k FROM pairs GROUP BY 1) SELECT count(*) AS candidates, count(*) FILTER (k > 1) AS shared, avg(CASE WHEN k > 1 THEN 1.0 ELSE 0.0 END) AS share FROM k")
 oracle(
@@ -37,6 +37,8 @@ WHERE NOT coalesce(a.n_name = b.n_name, false)""",
 )
 oracle("source_sizes", R, "SELECT country, count(*) FILTER (source = 1) AS s1, count(*) FILTER (source = 2) AS s2, count(*) FILTER (source = 3) AS s3, count(*) FILTER (source = 1) * count(*) FILTER (source > 1) AS naive_pairs FROM records GROUP BY 1")
 oracle("chain_names", "", "WITH c AS (SELECT p_name AS name, count(*) AS n FROM part GROUP BY 1) SELECT name, n FROM c WHERE n >= (SELECT quantile_cont(n, 0.9) FROM c)")
+oracle("common_names", R, ", c AS (SELECT source, name, count(*) AS n FROM records WHERE name IS NOT NULL GROUP BY 1, 2) SELECT source, name, n, CAST(row_number() OVER (PARTITION BY source ORDER BY n DESC, name) AS INT) AS rank FROM c QUALIFY rank <= 25")
+oracle("partition_values", R, "SELECT source, country, count(*) AS n FROM records GROUP BY 1, 2")
 oracle("missing_partition", R, ", r AS (SELECT source, CASE WHEN doc_id % 7 = 0 THEN ' ' WHEN doc_id % 11 = 0 THEN NULL ELSE country END AS country FROM records) SELECT source, count(*) AS n, avg(CASE WHEN country IS NULL OR trim(country) = '' THEN 1.0 ELSE 0.0 END) AS missing, count(DISTINCT country) AS countries FROM r GROUP BY 1")
 oracle(
     "postal_house_coverage", R,
@@ -249,6 +251,9 @@ oracle(
 SELECT a.s1_id, a.cand_id, b.cand_id AS an_id, b.cand_source AS an_source, b.p_match AS an_p, CAST(a.r = 1 AS INT) AS an_is_top FROM x a LEFT JOIN x b ON b.s1_id = a.s1_id AND b.r = CASE WHEN a.r = 1 THEN 2 ELSE 1 END""",
 )
 oracle("top_candidates", C, "SELECT s1_id, cand_id, p_match AS stage_a_score FROM scored QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY p_match DESC, cand_id) <= 3")
+_TOP = ", top AS (SELECT s1_id, cand_id, p_match FROM scored QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY p_match DESC, cand_id) <= 3)"
+oracle("candidate_lists", C, _TOP + " SELECT e.s1_id AS source1_entity_id, coalesce(string_agg(t.cand_id, ',' ORDER BY t.p_match DESC, t.cand_id), '') AS candidate_entity_ids FROM entities e LEFT JOIN top t USING (s1_id) GROUP BY 1")
+oracle("prefilter_recall", C, _TOP + ", m AS (SELECT b.cand_id AS b, t.cand_id AS k FROM (SELECT DISTINCT s1_id, cand_id FROM pairs) p LEFT JOIN (SELECT DISTINCT s1_id, cand_id FROM cand) b ON b.s1_id = p.s1_id AND b.cand_id = p.cand_id LEFT JOIN top t ON t.s1_id = p.s1_id AND t.cand_id = p.cand_id) SELECT count(*) AS true_pairs, count(b) / greatest(count(*), 1) AS blocking_recall, count(k) / greatest(count(*), 1) AS prefilter_recall, (count(b) - count(k)) / greatest(count(*), 1) AS loss FROM m")
 oracle("hard_negatives", C, ", l AS (SELECT s.s1_id, s.cand_id, s.p_match, CAST(p.cand_id IS NOT NULL AS INT) AS y FROM scored s LEFT JOIN pairs p ON p.s1_id = s.s1_id AND p.cand_id = s.cand_id), r AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY y, p_match DESC, cand_id) AS r, greatest(1, sum(y) OVER (PARTITION BY s1_id)) AS k FROM l) SELECT s1_id, cand_id, y FROM r WHERE y = 1 OR r <= 2 * k")
 
 # decision and evaluation
@@ -272,7 +277,7 @@ oracle(
     """, v AS (SELECT round(0.30 + 0.05 * i, 2) AS v, i FROM range(13) r(i)), g AS (SELECT CAST(row_number() OVER (ORDER BY a.i, b.i) - 1 AS INT) AS g, CAST(a.v AS DOUBLE) AS pair, CAST(b.v AS DOUBLE) AS singleton FROM v a JOIN v b ON a.i <= b.i),
 k1 AS (SELECT g.*, s.* FROM g JOIN scored s ON s.p_match >= g.pair QUALIFY row_number() OVER (PARTITION BY g.g, cand_id ORDER BY p_match DESC, s1_id) = 1), k2 AS (SELECT * FROM k1 QUALIFY row_number() OVER (PARTITION BY g, s1_id ORDER BY p_match DESC, cand_id) <= 12),
 k3 AS (SELECT * FROM k2 QUALIFY max(p_match) OVER (PARTITION BY g, s1_id) >= singleton), n AS (SELECT g, k3.s1_id, count(*) AS n, count(p.cand_id) AS tp FROM k3 LEFT JOIN pairs p ON p.s1_id = k3.s1_id AND p.cand_id = k3.cand_id GROUP BY 1, 2)
-SELECT g.g, g.pair, g.singleton, round(avg(CASE WHEN coalesce(n, 0) = 0 AND len(ids) = 0 THEN 1.0 WHEN coalesce(tp, 0) = 0 THEN 0.0 ELSE 1.25 * tp / (n + 0.25 * len(ids)) END), 6) AS f FROM g CROSS JOIN truth t LEFT JOIN n ON n.g = g.g AND n.s1_id = t.s1_id GROUP BY 1, 2, 3""",
+SELECT CAST(f.g * 3 + m.i AS INT) AS g, pair, singleton, CAST(m.margin AS DOUBLE) AS margin, f FROM (SELECT g.g, g.pair, g.singleton, round(avg(CASE WHEN coalesce(n, 0) = 0 AND len(ids) = 0 THEN 1.0 WHEN coalesce(tp, 0) = 0 THEN 0.0 ELSE 1.25 * tp / (n + 0.25 * len(ids)) END), 6) AS f FROM g CROSS JOIN truth t LEFT JOIN n ON n.g = g.g AND n.s1_id = t.s1_id GROUP BY 1, 2, 3) f CROSS JOIN (VALUES (0, NULL), (1, 0.05), (2, 0.10)) m(i, margin)""",
 )
 oracle("unlabelled_diagnostic", D, ", c AS (SELECT e.s1_id, count(d.cand_id) AS n FROM entities e LEFT JOIN decided d USING (s1_id) GROUP BY 1) SELECT round(avg(CASE WHEN n = 0 THEN 1.0 ELSE 0.0 END), 6) AS singleton_rate, round(avg(n), 6) AS mean_matches, 0.0558::DOUBLE AS expected_rate, 3.461::DOUBLE AS expected_matches FROM c")
 oracle(

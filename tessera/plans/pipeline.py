@@ -49,7 +49,7 @@ def run(records: DataFrame, truth: DataFrame, work: str, p: Params = Params()) -
 
     ``records``: entity_id, source, name, address, country; ``truth``: (s1_id, cand_id). ``work`` is a folder that all
     executors share: normalised records, candidates and features are written there and read again, so that a lost
-    executor costs one step.
+    executor costs one step; candidate lists, the recall of the first stage and both models stay there, too.
     """
     spark = records.sparkSession
 
@@ -65,17 +65,22 @@ def run(records: DataFrame, truth: DataFrame, work: str, p: Params = Params()) -
     cand = kept(candidates(norm, p), "candidates")
     rows = pairs.labelled(kept(pairs.stage_a(cand, norm), "stage_a"), truth)
     first = models.train(rows.join(group("G"), "s1_id", "left_semi"), STAGE_A, trees=p.trees[0], rate=0.05, seed=p.seed)
-    top = models.top_by_score(models.score(first, rows, STAGE_A, "stage_a_score"), p.stage_a_top)
+    models.save(first, STAGE_A, f"{work}/model_a")
+    top = kept(models.top_by_score(models.score(first, rows, STAGE_A, "stage_a_score"), p.stage_a_top), "prefiltered")
+    ids = entities.select(F.col("s1_id").alias("source1_entity_id"))
+    kept(io.id_lists(ids, top, "candidate_entity_ids", order=-F.col("stage_a_score")), "candidate_lists")
+    kept(evaluate.prefilter_recall(group("V"), truth, cand, top), "prefilter_recall")
     full = pairs.stage_b(top.drop("y"), norm, corpus.token_idf(norm, X.tokens("core_name")), corpus.name_frequency(norm))
     full = pairs.labelled(kept(full, "features"), truth)
     features = [c for c in full.columns if c.startswith("f_")]
     second = models.train_stage_b(full.join(group("G"), "s1_id", "left_semi"), features, trees=p.trees[1], seed=p.seed)
+    models.save(second, features, f"{work}/model_b")
     scored = kept(models.score(second, full, features).select("s1_id", "cand_id", "cand_source", "p_match"), "scores")
     lists = truth.groupBy("s1_id").agg(F.collect_set("cand_id").alias("ids"))
     real = group("V").join(lists, "s1_id", "left").select("s1_id", F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
     pair, single, _ = evaluate.tune(real, scored.join(group("V"), "s1_id", "left_semi"))
     matched = decide.decide(scored, pair, single)
-    return io.id_lists(entities.select(F.col("s1_id").alias("source1_entity_id")), matched, order=-F.col("p_match"))
+    return io.id_lists(ids, matched, order=-F.col("p_match"))
 
 
 def main() -> None:

@@ -135,6 +135,16 @@ def chain_names(spark, sf):
     return profile.chain_names(table(spark, sf, "part").select(F.col("p_name").alias("name")), 0.9)
 
 
+@query
+def common_names(spark, sf):
+    return profile.common_names(records(spark, sf))
+
+
+@query
+def partition_values(spark, sf):
+    return profile.partition_values(records(spark, sf))
+
+
 @query
 def missing_partition(spark, sf):
     return profile.missing_partition(records(spark, sf).withColumn("country", F.when(F.col("doc_id") % 7 == 0, " ").when(F.col("doc_id") % 11 == 0, None).otherwise(F.col("country"))))
@@ -540,6 +550,19 @@ def top_candidates(spark, sf):
     return models.top_by_score(scored(spark, sf).select("s1_id", "cand_id", F.col("p_match").alias("stage_a_score")), 3)
 
 
+@query
+def candidate_lists(spark, sf):
+    """Each entity's best candidates as one list, the best first."""
+    kept = top_candidates(spark, sf)
+    e = entities(spark, sf).select(F.col("s1_id").alias("source1_entity_id"))
+    return io.id_lists(e, kept, "candidate_entity_ids", order=-F.col("stage_a_score"))
+
+
+@query
+def prefilter_recall(spark, sf):
+    return evaluate.prefilter_recall(entities(spark, sf), true_pairs(spark, sf), candidates(spark, sf), top_candidates(spark, sf))
+
+
 @query
 def hard_negatives(spark, sf):
     p = pairs.labelled(scored(spark, sf).select("s1_id", "cand_id", F.col("p_match").alias("stage_a_score")), true_pairs(spark, sf))
@@ -636,8 +659,8 @@ def macro_fbeta(spark, sf):
 
 @query
 def threshold_grid(spark, sf):
-    g = evaluate.grid_scores(truth(spark, sf), scored(spark, sf), evaluate.grid(spark))
-    return g.select("g", "pair", "singleton", F.round("f", 6).alias("f"))
+    g = evaluate.with_margins(evaluate.grid_scores(truth(spark, sf), scored(spark, sf), evaluate.grid(spark)))
+    return g.select("g", "pair", "singleton", "margin", F.round("f", 6).alias("f"))
 
 
 @query

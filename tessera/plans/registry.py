@@ -13,9 +13,10 @@ from tessera.plans.queries import QUERIES, id_list_output
 
 #: Columns that both engines round to six digits, as sums and logarithms of doubles differ in the last ones.
 ROUNDED = {
-    "match_cardinality": ("mean", "std", "median", "singletons"),
+    "match_cardinality": ("mean", "std", "p25", "median", "p75", "singletons"),
     "exclusivity": ("share",),
     "missing_partition": ("missing",),
+    "prefilter_recall": ("blocking_recall", "prefilter_recall", "loss"),
     "postal_house_coverage": ("postal", "house"),
     "script_shares": ("share",),
     "name_duplication": ("share",),

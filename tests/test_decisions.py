@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import blocking, corpus, decide, evaluate, models, pairs, splits
+from tessera.operators import blocking, corpus, decide, evaluate, models, pairs, profile, splits
 from tessera.sources import io
 
 SCORED = "s1_id string, cand_id string, p_match double"
@@ -112,3 +112,41 @@ def test_stage_b_has_66_features_and_anchors_13(spark):
     assert len([c for c in b.columns if c.startswith("f_")]) == 66 and b.count() > 0
     assert len([c for c in QUERIES["anchor_features"](spark, sf).columns if c.startswith("an_")]) == 13
     assert pairs.listwise is not None
+
+
+def test_saved_models_score_alike(spark, tmp_path):
+    rows = spark.createDataFrame([(f"s{k}", k / 60, float(k % 3), int(k > 30)) for k in range(60)], "s1_id string, b double, a double, y int")
+    model = models.train(rows, ["b", "a"], trees=3, depth=2)
+    models.save(model, ["b", "a"], str(tmp_path / "m"))
+    again, features = models.load(str(tmp_path / "m"))
+    assert features == ["b", "a"]
+    of = lambda m, f: sorted((r.s1_id, r.p_match) for r in models.score(m, rows, f).collect())
+    assert of(model, ["b", "a"]) == of(again, features)
+
+
+def test_decoder_search_and_margins(spark):
+    rows = [(f"s{k}", f"c{k}-{j}", 0.9 - 0.2 * j, int(j == 0)) for k in range(40) for j in range(3)]
+    scored = spark.createDataFrame(rows, "s1_id string, cand_id string, p_match double, y int")
+    truth = spark.createDataFrame([(f"s{k}", "x" if k % 2 else None, [f"c{k}-0"]) for k in range(40)], "s1_id string, country string, ids array<string>")
+    scale, decoder, thresholds = models.decoder_search(scored, truth)
+    assert (scale, decoder, thresholds) == (0.0, 1.0, 1.0) and not models.adopt(thresholds, decoder)
+    # a missed pair an entity makes longer lists: the column and the number say the same
+    few = scored.where("p_match > 0.6")
+    of = lambda extra, df: {(r.s1_id, r.cand_id) for r in decide.decode(df, extra).collect()}
+    assert of(0.7, few) == of("more", few.withColumn("more", F.lit(0.7)))
+    grid = evaluate.with_margins(evaluate.grid_scores(truth.select("s1_id", "ids"), scored, evaluate.grid(spark))).collect()
+    assert sorted(r.g for r in grid) == list(range(273)) and {r.margin for r in grid} == {None, 0.05, 0.1}
+    assert all(len({r.f for r in grid if r.g // 3 == k}) == 1 for k in range(91))
+
+
+def test_profile_of_nothing_and_ties(spark):
+    names = spark.createDataFrame([("b", 1), ("a", 1), ("c", 1), ("c", 1), (None, 1), ("z", 2)], "name string, source int")
+    assert sorted((r.source, r["rank"], r.name, r.n) for r in profile.common_names(names, 2).collect()) == [(1, 1, "c", 2), (1, 2, "a", 1), (2, 1, "z", 1)]
+    assert profile.common_names(names.limit(0)).count() == 0
+    values = spark.createDataFrame([(1, None), (1, " "), (1, "x"), (1, "x")], "source int, country string")
+    assert sorted(((r.country, r.n) for r in profile.partition_values(values).collect()), key=repr) == [(" ", 1), ("x", 2), (None, 1)]
+    pair = spark.createDataFrame([("a", "b"), ("a", "b")], "s1_id string, cand_id string")
+    none = pair.limit(0)
+    e = spark.createDataFrame([("a",)], "s1_id string")
+    assert tuple(evaluate.prefilter_recall(e, none, pair, pair).first()) == (0, 0.0, 0.0, 0.0)
+    assert tuple(evaluate.prefilter_recall(e, pair, pair, none).first()) == (1, 1.0, 0.0, 1.0)

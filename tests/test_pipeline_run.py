@@ -1,5 +1,6 @@
 """The linkage run end to end: every entity once, ids of the other sources only, copies found."""
 
+from tessera.operators import models
 from tessera.operators.records import records, true_pairs
 from tessera.plans import pipeline
 
@@ -15,3 +16,9 @@ def test_run(spark, tmp_path):
     assert ids and all(i.startswith(("S2-", "S3-")) for _, i in ids)
     real = {(x.s1_id, x.cand_id) for x in t.collect()}
     assert len(real & set(ids)) >= 0.3 * len(real)
+    lists = spark.read.parquet(f"{tmp_path}/candidate_lists")
+    assert lists.count() == len(rows) and lists.where("candidate_entity_ids <> ''").count() > 0
+    recall = spark.read.parquet(f"{tmp_path}/prefilter_recall").first()
+    assert 0 <= recall.prefilter_recall <= recall.blocking_recall <= 1
+    model, features = models.load(f"{tmp_path}/model_a")
+    assert features == pipeline.STAGE_A and model.getNumTrees == 8
