@@ -36,8 +36,8 @@ def candidates(norm: DataFrame, p: Params) -> DataFrame:
     """The arms that need no encoder, united and capped."""
     q, pool = norm.where("source = 1"), norm.where("source > 1")
     arms = [
-        blocking.arm_rows(blocking.sparse_topk(blocking.tfidf(norm, blocking.char_grams(F.col("core_name")), p.tfidf_max_df[0]), p.tfidf_k, p.tfidf_least), "name"),
-        blocking.arm_rows(blocking.sparse_topk(blocking.tfidf(norm, blocking.word_grams(F.col("address_expanded")), p.tfidf_max_df[1]), p.tfidf_k, p.tfidf_least), "address"),
+        blocking.arm_rows(blocking.tfidf_topk(norm, "core_name", blocking.char_grams, p.tfidf_max_df[0], p.tfidf_k, p.tfidf_least), "name"),
+        blocking.arm_rows(blocking.tfidf_topk(norm, "address_expanded", blocking.word_grams, p.tfidf_max_df[1], p.tfidf_k, p.tfidf_least), "address"),
     ]
     keys = ((blocking.locality_keys(), "key_locrare_hit"), (blocking.house_keys(), "key_house_hit"), (blocking.acronym_keys(), "key_acr_hit"))
     arms += [blocking.arm_rows(blocking.key_arm(q, pool, k, cap), name) for (k, name), cap in zip(keys, p.caps)]

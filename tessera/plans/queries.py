@@ -101,6 +101,13 @@ def _folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    """``rows`` written once and read again, for plans that start from them several times."""
+    path = _folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 # profiling
 
 
@@ -372,19 +379,18 @@ def capped_key_join(spark, sf):
     return candidates(spark, sf)
 
 
-def _tfidf(spark, sf, column, terms, max_df, k):
-    n = norm(spark, sf).select("entity_id", "source", "country", column)
-    return blocking.sparse_topk(blocking.tfidf(n, terms(F.col(column)), max_df), k)
+def _tfidf(n, column, terms, max_df, k):
+    return blocking.tfidf_topk(n.select("entity_id", "source", "country", column), column, terms, max_df, k)
 
 
 @query
 def tfidf_name_topk(spark, sf):
-    return _tfidf(spark, sf, "core_name", blocking.char_grams, 0.1, 10).select("s1_id", "cand_id", "cand_source", F.round("score", 6).alias("score"), "rank")
+    return _tfidf(_written(norm(spark, sf).select("entity_id", "source", "country", "core_name")), "core_name", blocking.char_grams, 0.1, 10).select("s1_id", "cand_id", "cand_source", F.round("score", 6).alias("score"), "rank")
 
 
 @query
 def tfidf_addr_topk(spark, sf):
-    return _tfidf(spark, sf, "address_expanded", blocking.word_grams, 0.1, 10).select("s1_id", "cand_id", "cand_source", F.round("score", 6).alias("score"), "rank")
+    return _tfidf(_written(norm(spark, sf).select("entity_id", "source", "country", "address_expanded")), "address_expanded", blocking.word_grams, 0.1, 10).select("s1_id", "cand_id", "cand_source", F.round("score", 6).alias("score"), "rank")
 
 
 def _vectors(spark, sf):
@@ -404,11 +410,11 @@ def dense_knn_ivf(spark, sf):
 
 
 def _union(spark, sf):
-    n = norm(spark, sf)
+    n = _written(norm(spark, sf).select("entity_id", "source", "country", "core_name", "address_expanded", "locality_tokens", "postal_code", "house_number", "street_tokens", "acronym", "postal_prefix3"))
     q, p = n.where("source = 1"), n.where("source > 1")
     arms = [
-        blocking.arm_rows(_tfidf(spark, sf, "core_name", blocking.char_grams, 0.1, 10), "name"),
-        blocking.arm_rows(_tfidf(spark, sf, "address_expanded", blocking.word_grams, 0.1, 10), "address"),
+        blocking.arm_rows(_tfidf(n, "core_name", blocking.char_grams, 0.1, 10), "name"),
+        blocking.arm_rows(_tfidf(n, "address_expanded", blocking.word_grams, 0.1, 10), "address"),
         blocking.arm_rows(blocking.key_arm(q, p, blocking.locality_keys(), 200), "key_locrare_hit"),
         blocking.arm_rows(blocking.key_arm(q, p, blocking.house_keys(), 200), "key_house_hit"),
         blocking.arm_rows(blocking.key_arm(q, p, blocking.acronym_keys(), 100), "key_acr_hit"),
