@@ -42,10 +42,11 @@ def candidates(spark: SparkSession, sf: str, cap: int = 200) -> DataFrame:
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """The candidates with jn, ja (word Jaccard of names and addresses) and p_match; word sets are made once a record."""
-    r = records(spark, sf).select("entity_id", "country", F.col("name"), F.col("address"), F.array_distinct(X.tokens(F.lower("name"))).alias("wn"), F.array_distinct(X.tokens(F.lower("address"))).alias("wa"))
-    both = pairs.sided(candidates(spark, sf), r)
-    jn, ja = S.jaccard(F.col("s.wn"), F.col("c.wn"), 0.0), S.jaccard(F.col("s.wa"), F.col("c.wa"), 0.0)
-    rows = both.select("s1_id", "cand_id", "cand_source", F.col("s.country").alias("country"), F.col("s.name").alias("s_name"), F.col("c.name").alias("c_name"), F.col("s.address").alias("s_addr"), F.col("c.address").alias("c_addr"), jn.alias("jn"), ja.alias("ja"))
+    r = _written(records(spark, sf))
+    wn, wa = (F.array_distinct(X.tokens(F.lower(c))) for c in ("name", "address"))
+    both = blocking.key_pairs(r.where("source = 1"), r.where("source > 1"), wn, 200, {"country": F.col("country"), "name": F.col("name"), "addr": F.col("address"), "wn": wn, "wa": wa})
+    jn, ja = S.jaccard(F.col("s_wn"), F.col("c_wn"), 0.0), S.jaccard(F.col("s_wa"), F.col("c_wa"), 0.0)
+    rows = both.select("s1_id", "cand_id", "cand_source", F.col("s_country").alias("country"), "s_name", "c_name", "s_addr", "c_addr", jn.alias("jn"), ja.alias("ja"))
     return rows.withColumn("p_match", F.round(0.4 * F.col("jn") + 0.6 * F.col("ja"), 6))
 
 
@@ -609,9 +610,10 @@ def efm_decode(spark, sf):
 @query
 def stage_c_scores(spark, sf):
     """Third-stage scores from the listwise columns."""
-    ctx = pairs.context(scored(spark, sf))
-    columns = [c for c in ctx.columns if c.startswith("c_") and c not in ("c_name", "c_addr")]
-    rows = pairs.labelled(ctx.select("s1_id", "cand_id", "p_match", *columns), true_pairs(spark, sf))
+    p = pairs.labelled(scored(spark, sf).select("s1_id", "cand_id", "cand_source", "p_match"), true_pairs(spark, sf))
+    ctx = pairs.context(p)
+    columns = [c for c in ctx.columns if c.startswith("c_")]
+    rows = _written(ctx.select("s1_id", "cand_id", "p_match", "y", *columns))  # training and both decisions read it
     new, _ = models.third_stage(rows, columns, truth(spark, sf), trees=5, depth=3)
     return new.select("s1_id", "cand_id", "p_match", "p_new")
 
