@@ -40,7 +40,7 @@ def candidates(norm: DataFrame, p: Params) -> DataFrame:
         blocking.arm_rows(blocking.sparse_topk(blocking.tfidf(norm, blocking.word_grams(F.col("address_expanded")), p.tfidf_max_df[1]), p.tfidf_k, p.tfidf_least), "address"),
     ]
     keys = ((blocking.locality_keys(), "key_locrare_hit"), (blocking.house_keys(), "key_house_hit"), (blocking.acronym_keys(), "key_acr_hit"))
-    arms += [blocking.arm_rows(blocking.key_arm(q, pool, k, cap), name) for (k, name), cap in zip(keys, p.caps)]
+    arms += [blocking.arm_rows(blocking.key_arm(q, pool, k, cap, once=False), name) for (k, name), cap in zip(keys, p.caps)]
     return blocking.union_and_cap(arms, p.union_cap)
 
 

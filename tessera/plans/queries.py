@@ -416,9 +416,9 @@ def _union(spark, sf):
     arms = [
         blocking.arm_rows(_tfidf(n, "core_name", blocking.char_grams, 0.1, 10), "name"),
         blocking.arm_rows(_tfidf(n, "address_expanded", blocking.word_grams, 0.1, 10), "address"),
-        blocking.arm_rows(blocking.key_arm(q, p, blocking.locality_keys(), 200), "key_locrare_hit"),
-        blocking.arm_rows(blocking.key_arm(q, p, blocking.house_keys(), 200), "key_house_hit"),
-        blocking.arm_rows(blocking.key_arm(q, p, blocking.acronym_keys(), 100), "key_acr_hit"),
+        blocking.arm_rows(blocking.key_arm(q, p, blocking.locality_keys(), 200, once=False), "key_locrare_hit"),
+        blocking.arm_rows(blocking.key_arm(q, p, blocking.house_keys(), 200, once=False), "key_house_hit"),
+        blocking.arm_rows(blocking.key_arm(q, p, blocking.acronym_keys(), 100, once=False), "key_acr_hit"),
     ]
     return blocking.union_and_cap(arms)
 

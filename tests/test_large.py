@@ -75,3 +75,11 @@ def test_sparse_search_ships_texts_not_vectors(spark):
     row = lambda k: (f"S{k % 3 + 1}-{k:05}", k % 3 + 1, "x", " ".join(words[k * k * j % 119] for j in range(1, 7)) + f" n{k}")
     frame = spark.createDataFrame([row(k) for k in range(3000)], "entity_id string, source int, country string, t string")
     assert 0 < shuffled(spark, blocking.tfidf_topk(frame, "t", blocking.char_grams, 0.1)) < 600 * 3000
+
+
+def test_the_union_of_arms_is_shuffled_once(spark):
+    """Each arm's pairs were shuffled for themselves, then all of them twice: 3.7 MB here, now 2.0."""
+    from tessera.plans.queries import QUERIES
+    from tests.shuffles import shuffled
+
+    assert 0 < shuffled(spark, QUERIES["candidate_union"](spark, "/root/testdata/sf0.01")) < 2_800_000
