@@ -610,10 +610,9 @@ def efm_decode(spark, sf):
 @query
 def stage_c_scores(spark, sf):
     """Third-stage scores from the listwise columns."""
-    p = pairs.labelled(scored(spark, sf).select("s1_id", "cand_id", "cand_source", "p_match"), true_pairs(spark, sf))
-    ctx = pairs.context(p)
-    columns = [c for c in ctx.columns if c.startswith("c_")]
-    rows = _written(ctx.select("s1_id", "cand_id", "p_match", "y", *columns))  # training and both decisions read it
+    p = scored(spark, sf).select("s1_id", "cand_id", "cand_source", "p_match")
+    rows = pairs.with_gaps(_written(pairs.labelled_context(p, true_pairs(spark, sf)).drop("cand_source")))  # training and both decisions read it
+    columns = ["c_p", "c_s1_max", "c_s1_gap", "c_s1_rank", "c_s1_sum", "c_s1_n50", "c_s1_n80", "c_s1_2nd", "c_s1_gap12", "c_other_src_max", "c_cand_max", "c_cand_gap", "c_cand_n", "c_cand_rank"]
     new, _ = models.third_stage(rows, columns, truth(spark, sf), trees=5, depth=3)
     return new.select("s1_id", "cand_id", "p_match", "p_new")
 
