@@ -42,11 +42,16 @@ def candidates(spark: SparkSession, sf: str, cap: int = 200) -> DataFrame:
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """The candidates with jn, ja (word Jaccard of names and addresses) and p_match; word sets are made once a record."""
+    return _scored_by_key(spark, sf).drop("k")
+
+
+def _scored_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    """``scored`` with k, the least key that both records have."""
     r = _written(records(spark, sf))
     wn, wa = (F.array_distinct(X.tokens(F.lower(c))) for c in ("name", "address"))
     both = blocking.key_pairs(r.where("source = 1"), r.where("source > 1"), wn, 200, {"country": F.col("country"), "name": F.col("name"), "addr": F.col("address"), "wn": wn, "wa": wa})
-    jn, ja = S.jaccard(F.col("s_wn"), F.col("c_wn"), 0.0), S.jaccard(F.col("s_wa"), F.col("c_wa"), 0.0)
-    rows = both.select("s1_id", "cand_id", "cand_source", F.col("s_country").alias("country"), "s_name", "c_name", "s_addr", "c_addr", jn.alias("jn"), ja.alias("ja"))
+    jn, ja = S.jaccard_of_sets(F.col("s_wn"), F.col("c_wn"), 0.0), S.jaccard_of_sets(F.col("s_wa"), F.col("c_wa"), 0.0)
+    rows = both.select("s1_id", "cand_id", "cand_source", F.col("s_country").alias("country"), "s_name", "c_name", "s_addr", "c_addr", jn.alias("jn"), ja.alias("ja"), "k")
     return rows.withColumn("p_match", F.round(0.4 * F.col("jn") + 0.6 * F.col("ja"), 6))
 
 
@@ -514,9 +519,9 @@ def stage_a_set_features(spark, sf):
 
 @query
 def stage_b_features(spark, sf):
-    n = norm(spark, sf)
-    p = scored(spark, sf).select("s1_id", "cand_id", "cand_source", F.col("p_match").alias("stage_a_score"))
-    return pairs.stage_b(p, n, corpus.token_idf(n, X.tokens("core_name")), corpus.name_frequency(n))
+    n = _written(norm(spark, sf))
+    p = _written(_scored_by_key(spark, sf).select("s1_id", "cand_id", "cand_source", F.col("p_match").alias("stage_a_score"), "k"))
+    return pairs.stage_b(p, n, corpus.token_idf(n, X.tokens("core_name")), corpus.name_frequency(n), by="k", complete=True)
 
 
 @query

@@ -77,6 +77,39 @@ def test_sparse_search_ships_texts_not_vectors(spark):
     assert 0 < shuffled(spark, blocking.tfidf_topk(frame, "t", blocking.char_grams, 0.1)) < 600 * 3000
 
 
+def test_stage_b_ships_ids_and_compares_in_blocks(spark):
+    """Records travel once a block, not once a pair, and features are those of single pairs; pairs without a record drop out before ranks."""
+    from pyspark.sql import Row
+
+    from tessera.functions import similarity as S
+    from tessera.functions import text as X
+    from tessera.operators import corpus, pairs
+    from tessera.operators.records import normalised
+    from tests.shuffles import shuffled
+
+    name = lambda k: " ".join(f"w{k * j % 41}x{k % 7}" for j in range(1, 6)) + (" ltd" if k % 3 else "")
+    row = lambda s, k: Row(entity_id=f"S{s}-{k:05}", source=s, name=None if k == 7 else name(k + s), address=None if k == 9 else f"{k} Main Road {name(k * s)} 75{k % 9:03}", country="xy"[k * s % 2] if k % 11 else None)
+    n = normalised(spark.createDataFrame([row(s, k) for s in (1, 2) for k in range(200)], "entity_id string, source int, name string, address string, country string")).cache()
+    ids = spark.range(200).crossJoin(spark.range(200).toDF("c")).select(F.format_string("S1-%05d", "id").alias("s1_id"), F.format_string("S2-%05d", "c").alias("cand_id"), F.lit("S2").alias("cand_source"), (F.pmod(F.xxhash64("id", "c"), F.lit(1000)) / 1000).alias("stage_a_score"))
+    lost = spark.createDataFrame([("S1-00003", "S3-99999", "S3", 2.0), ("S1-99999", "S2-00003", "S2", 2.0)], ids.schema)
+    got = pairs.stage_b(ids.unionByName(lost).cache(), n, corpus.token_idf(n, X.tokens("core_name")), corpus.name_frequency(n))
+    assert 0 < shuffled(spark, got) < 250 * 40_000
+    own = pairs.prepared(n).select("entity_id", "core_name", "address_expanded", "phon", "g_core", "w_nums").collect()
+    one, some = {r.entity_id: r for r in own}, got.where("pmod(xxhash64(s1_id, cand_id), 40) = 1 or cand_id = 'S2-00003' or s1_id = 'S1-00007'").collect()
+    assert got.count() == 40_000 and len(some) > 1000 and max(r.f_rerank_max for r in some) < 1
+    share = lambda a, b, none: len({*a} & {*b}) / len({*a, *b}) if {*a, *b} else none
+    for r in some:
+        a, b = one[r.s1_id], one[r.cand_id]
+        assert r.f_name_jw_core == S.jaro_winkler_of(a.core_name, b.core_name) and r.f_addr_jw == S.jaro_winkler_of(a.address_expanded or "", b.address_expanded or "")
+        assert r.f_name_partial == S.partial_of(a.core_name, b.core_name) and r.f_addr_set == S.token_set_of(a.address_expanded or "", b.address_expanded or "")
+        assert (r.f_name_char3, r.f_nums_jac) == (share(a.g_core, b.g_core, 1.0), share(a.w_nums, b.w_nums, 0.0))
+    both = pairs.sided(spark.createDataFrame(some, got.schema), pairs.with_idf(pairs.prepared(n), corpus.token_idf(n, X.tokens("core_name"))))
+    weights = F.map_concat(F.map_filter("s.w_idf", lambda k, v: ~F.map_contains_key("c.w_idf", k)), F.col("c.w_idf"))
+    want = {f: S.weighted_jaccard(F.col(f"s.{w}"), F.col(f"c.{w}"), weights) for f, w in (("f_name_idf_jac", "w_core"), ("f_street_idf_jac", "w_street"))} | {"f_name_lev": S.levenshtein(F.col("s.core_name"), F.col("c.core_name"))}
+    held = both.select(*want, *[v.alias(f"want_{f}") for f, v in want.items()])
+    assert held.where(" or ".join(f"abs({f} - want_{f}) > 1e-12 or want_{f} is null" for f in want)).count() == 0
+
+
 def test_the_union_of_arms_is_shuffled_once(spark):
     """Each arm's pairs were shuffled for themselves, then all of them twice: 3.7 MB here, now 2.0."""
     from tessera.plans.queries import QUERIES
